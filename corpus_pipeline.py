@@ -4,22 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import quality
+from quirelake.llm import decontamination, neardup, packing, quality, secrets
 from quirelake.plans import durable
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality classifier", good_quality)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, one document stays."""
+    return neardup.one_of_each(docs)
 
-#: Learning isn't SQL; the rows are held against a brute-force version.
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; all documents stay."""
+    return secrets.redacted(docs)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Segments of documents by training window."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality-classifier", good_quality),
+    ("minhash-near-dedup", one_of_each),
+    ("benchmark-decontamination", decontaminated),
+    ("secret-scans", without_secrets),
+    ("packing", windows),
+]
+
+#: Learning and approximate search aren't SQL; the rows are held against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents; each reads what the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = durable.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = durable.written(stage(spark, docs, sf_dir), name)
     return docs
