@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import decontamination, neardup, packing, quality, secrets, substrings
+from quirelake.llm import chat, decontamination, maxent, neardup, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return maxent.scored(documents, maxent.trained(documents))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +49,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
+    "op5_chat": op5_chat,
     "op6_substrings": op6_substrings,
+    "op7_lm_scores": op7_lm_scores,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
@@ -90,7 +101,36 @@ FROM queued d JOIN slots s ON d.source IS NOT DISTINCT FROM s.source AND first <
 WHERE next_edge > edge
 """
 
+OP5_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+ordered AS (
+  SELECT *, row_number() OVER q - 1 AS nth, lag(turn) OVER q AS last_turn, coalesce(lag(role) OVER q, 'start') AS last_role,
+    count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM turns WINDOW q AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+judged AS (
+  SELECT *, CASE
+    WHEN conv_id IS NULL THEN 'no conversation'
+    WHEN turn IS NULL THEN 'no turn'
+    WHEN last_turn = turn THEN 'turn ' || turn || ': occurs twice'
+    WHEN role IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'turn ' || turn || ': unknown role'
+    WHEN text IS NULL THEN 'turn ' || turn || ': no text'
+    WHEN last_role || '>' || role NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')
+      THEN 'turn ' || turn || ': ' || role || ' after ' || last_role
+    WHEN nth = turns - 1 AND role <> 'assistant' THEN 'turn ' || turn || ': ends with ' || role END AS fault
+  FROM ordered),
+faults AS (SELECT conv_id, arg_min(fault, nth) AS error FROM judged WHERE fault IS NOT NULL GROUP BY conv_id),
+segments AS (
+  SELECT j.*, k FROM judged j, range(0, 3) t(k) WHERE NOT EXISTS (SELECT 1 FROM faults f WHERE f.conv_id IS NOT DISTINCT FROM j.conv_id))
+SELECT conv_id, CAST(3 * nth + k AS BIGINT) AS position, turn, role,
+  CASE k WHEN 0 THEN '<|im_start|>' || role || chr(10) WHEN 1 THEN text ELSE '<|im_end|>' || chr(10) END AS text,
+  role = 'assistant' AND k > 0 AS loss, CAST(NULL AS VARCHAR) AS error
+FROM segments
+UNION ALL
+SELECT conv_id, 0, -1, NULL, NULL, false, error FROM faults
+"""
+
 ORACLES: dict[str, str] = {
     "op1_packing": OP1_SQL,
+    "op5_chat": OP5_SQL,
     "op6_substrings": OP6_SQL,
 }
