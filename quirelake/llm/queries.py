@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, decontamination, html, maxent, neardup, packing, quality, secrets, substrings
+from quirelake.llm import chat, decontamination, html, maxent, neardup, neighbours, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_html": op3_html,
+    "op4_neighbours": op4_neighbours,
     "op5_chat": op5_chat,
     "op6_substrings": op6_substrings,
     "op7_lm_scores": op7_lm_scores,
