@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -245,17 +246,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), size
     return out
 
 
+def _clean(shared: Broadcast):
+    """Whether texts leak no item of a broadcast slice."""
+
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        out = np.ones(len(column), bool)
+        out[[r for r, *_ in search(column, shared.value)]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def without_leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), size: int = SLICE_WORDS) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    sc = documents.sparkSession.sparkContext
     for items in slices(benchmark, p, size):
-        shared = sc.broadcast(items)
-
-        @F.arrow_udf("boolean")
-        def clean(column: pa.Array, shared=shared) -> pa.Array:
-            out = np.ones(len(column), bool)
-            out[[r for r, *_ in search(column, shared.value)]] = False
-            return pa.array(out)
-
+        clean = _clean(documents.sparkSession.sparkContext.broadcast(items))
         documents = documents.where(clean(F.col("text")))
     return documents
