@@ -43,6 +43,8 @@ UPDATE = "id long, near array<long>, score array<float>"
 
 @dataclass(frozen=True)
 class Params:
+    """The beam of a search holds beam_per_bit * log2(rows) nodes, and k at least."""
+
     k: int = 10
     degree: int = 32
     trees: int = 6
@@ -50,11 +52,14 @@ class Params:
     bucket: int = 8192
     rounds: int = 8
     least_change: float = 0.05
-    beam: int = 96
+    beam_per_bit: int = 9
     seed: int = 5
     broadcast_bytes: int = 64 << 20
     expand: int = 8
 
+    def beam(self, n: int) -> int:
+        return max(self.k + 1, int(self.beam_per_bit * np.log2(max(2, n))))
+
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and unit vector of the rows that count."""
@@ -338,7 +343,7 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     edges = durable.written(adjacency(graph(known, p)), "adjacency")
     dims = known.select(F.size("vec")).first()[0]
     size = n * (dims * 4 + 8) + edges.agg(F.sum(F.size("to"))).first()[0] * 4
-    return _searched(known, edges, p) if size <= p.broadcast_bytes else _joined(known, edges, p)
+    return _searched(known, edges, p) if size <= p.broadcast_bytes else _joined(known, edges, p, p.beam(n))
 
 
 def _searched(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
@@ -351,7 +356,7 @@ def _searched(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
     size[np.searchsorted(every, lists["id"].to_numpy())] = [len(y) for y in flat]
     to = np.searchsorted(every, np.concatenate([np.zeros(0, np.int64), *flat])).astype(np.int32)
     shared = known.sparkSession.sparkContext.broadcast((every, x, np.concatenate([[0], np.cumsum(size)]), to))
-    block = max(16, min(512, (32 << 20) // len(every)))
+    block, beam = max(16, min(512, (32 << 20) // len(every))), p.beam(len(every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, x, bounds, to = shared.value
@@ -360,14 +365,14 @@ def _searched(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
             for low in range(0, len(ids), block):
                 own = ids[low : low + block]
                 at = np.searchsorted(every, own)
-                nodes, score = beam_search(x, bounds, to, x[at], at[:, None], p.beam)
+                nodes, score = beam_search(x, bounds, to, x[at], at[:, None], beam)
                 yield _answer(every, own, list(nodes), list(score), p.k)
 
     parts = max(1, known.sparkSession.sparkContext.defaultParallelism * 4)
     return known.select("id").repartition(parts, "id").mapInArrow(run, RESULT)
 
 
-def advanced(p: Params) -> Callable:
+def advanced(p: Params, beam: int) -> Callable:
     """cogroup of a query's state with the vectors that it is offered: its next state."""
 
     def run(state: pa.Table, offered: pa.Table) -> pa.Table:
@@ -380,7 +385,7 @@ def advanced(p: Params) -> Callable:
             first = first[~np.isin(ids, nodes)]
             value = _matrix(offered["offer"].combine_chunks())[first] @ np.array(s["vec"], np.float32)
             nodes, score, done = np.append(nodes, offered["v"].to_numpy()[first]), np.append(score, value), np.append(done, np.zeros(len(first), bool))
-        top = _best(nodes, score, p.beam)
+        top = _best(nodes, score, beam)
         nodes, score, done = nodes[top], score[top], done[top]
         now = np.flatnonzero(~done)[: p.expand]
         done[now] = True
@@ -389,7 +394,7 @@ def advanced(p: Params) -> Callable:
     return run
 
 
-def _joined(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
+def _joined(known: DataFrame, edges: DataFrame, p: Params, beam: int) -> DataFrame:
     """Search by joins: every round, each query expands the best nodes of its beam."""
     schema = "q long, vec array<float>, nodes array<long>, score array<float>, done array<boolean>, now array<long>"
     state = known.select(
@@ -400,7 +405,7 @@ def _joined(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
     while not state.where(F.size("now") > 0).isEmpty():
         ask = state.select("q", F.explode("now").alias("id"), "nodes").join(edges, "id").select(F.col("q").alias("asker"), F.explode(F.array_except("to", "nodes")).alias("v")).distinct()
         offered = ask.join(target, "v").select("asker", "v", F.col("vec").alias("offer"))
-        following = durable.written(state.groupBy("q").cogroup(offered.groupBy("asker")).applyInArrow(advanced(p), schema), "beams")
+        following = durable.written(state.groupBy("q").cogroup(offered.groupBy("asker")).applyInArrow(advanced(p, beam), schema), "beams")
         durable.discard(state)
         state = following
 

@@ -21,7 +21,7 @@ def exact(ids, x, k):
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_recall(spark, limit):
-    n, p = (1500, neighbours.Params()) if limit else (300, neighbours.Params(degree=12, trees=2, leaf=40, bucket=100, beam=40))
+    n, p = (1500, neighbours.Params()) if limit else (300, neighbours.Params(degree=12, trees=2, leaf=40, bucket=100, beam_per_bit=5))
     x = np.random.default_rng(3).normal(size=(n, 24)).astype(np.float32)
     ids = [7 * i - 50 for i in range(n)]
     out = neighbours.neighbours(make(spark, list(zip(ids, x.tolist(), strict=True))), p=replace(p, broadcast_bytes=limit)).collect()
