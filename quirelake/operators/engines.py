@@ -1,0 +1,167 @@
+"""The boundary to recognition engines, language models and image tools.
+
+An engine turns image bytes into texts with confidences; it is made once a task,
+where the work is done. Real engines need software that isn't part of this
+library: they are named in the registry and tell what is missing. The fake
+engine is deterministic and stands in for them in tests.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import importlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+RESULT = "text string, mean_conf double, words array<struct<text:string,bbox:array<int>,conf:double>>, engine string, error string"
+BATCH = 32
+
+
+@dataclass(frozen=True)
+class Word:
+    text: str
+    bbox: tuple[int, int, int, int]
+    conf: float | None = None
+
+
+@dataclass(frozen=True)
+class Recognised:
+    text: str
+    mean_conf: float | None = None
+    words: tuple[Word, ...] = ()
+    meta: dict[str, str] = field(default_factory=dict)
+
+
+class Engine:
+    """Recognises the text of images; results come in the order of the images."""
+
+    name = "engine"
+    wants_preprocess = True
+
+    def identity(self) -> str:
+        """All that results depend on, for cache keys: name, model and limits."""
+        return self.name
+
+    def recognise(self, image: bytes) -> Recognised:
+        raise NotImplementedError(f"{self.name} has no implementation")
+
+    def recognise_all(self, images: list[bytes]) -> list[Recognised]:
+        return [self.recognise(x) for x in images]
+
+
+class FakeEngine(Engine):
+    """Reads UTF-8 bytes as the text; the confidence is a hash of them. ``noise`` drops every nth character."""
+
+    name = "fake"
+
+    def __init__(self, noise: int = 0) -> None:
+        self.noise = noise
+
+    def identity(self) -> str:
+        return f"{self.name}-{self.noise}"
+
+    def recognise(self, image: bytes) -> Recognised:
+        own = image.decode("utf-8", "replace")
+        if self.noise:
+            own = "".join(x for i, x in enumerate(own, 1) if i % self.noise)
+        conf = int(hashlib.sha256(image).hexdigest()[:4], 16) / 0xFFFF
+        return Recognised(own, conf, tuple(Word(w, (0, 0, len(w), 1), conf) for w in own.split()[:8]))
+
+
+class _Missing(Engine):
+    needs = ""
+
+    def __init__(self) -> None:
+        importlib.import_module(self.needs)
+
+
+def _missing(label: str, module: str, preprocess: bool) -> Callable[[], Engine]:
+    return type(label, (_Missing,), {"name": label, "needs": module, "wants_preprocess": preprocess})
+
+
+def _unsupported() -> Engine:
+    raise NotImplementedError("paddle isn't supported")
+
+
+ENGINES: dict[str, Callable[[], Engine]] = {
+    "fake": FakeEngine,
+    "fake-noisy": lambda: FakeEngine(9),
+    "surya2": _missing("surya2", "surya", False),
+    "surya": _missing("surya", "surya", False),
+    "tesseract": _missing("tesseract", "pytesseract", True),
+    "vlm": _missing("vlm", "openai", False),
+    "paddle": _unsupported,
+}
+ALIASES = {"marker": "surya", "vlm_ocr": "vlm", "qwen-vl": "vlm"}
+
+
+def get_engine(name: str) -> Engine:
+    maker = ENGINES.get(ALIASES.get(name, name))
+    if maker is None:
+        raise ValueError(f"unknown engine: {name}")
+    return maker()
+
+
+def run_engine(pages: DataFrame, engine: Callable[[], Engine], key: list[str], content: str = "content") -> DataFrame:
+    """key columns and results of an engine on every row's image.
+
+    Rows are sent in batches; a batch that fails is tried image by image and an
+    image that fails gives its error, so none is hidden and none stops the rest.
+    Write the result before further use: a plan that is run twice calls the
+    engine twice.
+    """
+    kinds = pages.select(*key).schema
+
+    def one(own: Engine, image: bytes | None) -> tuple[Recognised, str | None]:
+        try:
+            return own.recognise(image or b""), None
+        except Exception as e:  # noqa: BLE001 - whatever a foreign engine throws is its result
+            return Recognised(""), f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = engine()
+        for b in batches:
+            for low in range(0, len(b), BATCH):
+                part = b.slice(low, BATCH)
+                images = part.column(content).to_pylist()
+                try:
+                    found = [(x, None) for x in own.recognise_all([x or b"" for x in images])]
+                except Exception:  # noqa: BLE001
+                    found = [one(own, x) for x in images]
+                words = [[{"text": w.text, "bbox": list(w.bbox), "conf": w.conf} for w in x.words] for x, _ in found]
+                word = pa.list_(pa.struct([("text", pa.string()), ("bbox", pa.list_(pa.int32())), ("conf", pa.float64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in key), pa.array([x.text for x, _ in found], pa.string()), pa.array([x.mean_conf for x, _ in found], pa.float64()), pa.array(words, word), pa.array([own.identity()] * len(found)), pa.array([e for _, e in found], pa.string())],
+                    [*key, "text", "mean_conf", "words", "engine", "error"],
+                )
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", " + RESULT
+    return pages.select(*key, F.col(content)).mapInArrow(run, schema)
+
+
+def rewrite(pages: DataFrame, model: Callable[[], Callable[[str], str]], key: list[str], column: str = "text") -> DataFrame:
+    """key columns and candidate: each text as rewritten by a model, made once a task."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*key).schema) + ", candidate string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), pa.array([own(x or "") for x in b.column(column).to_pylist()], pa.string())], [*key, "candidate"])
+
+    return pages.select(*key, column).mapInArrow(run, schema)
+
+
+def preprocess_images(pages: DataFrame, step: Callable[[], Callable[[bytes], bytes]], content: str = "content") -> DataFrame:
+    """Pages with each image passed through a step (grey, contrast, deskew or the like), made once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = step()
+        for b in batches:
+            made = pa.array([None if x is None else own(x) for x in b.column(content).to_pylist()], pa.binary())
+            yield b.set_column(b.schema.get_field_index(content), content, made)
+
+    return pages.mapInArrow(run, pages.schema)
