@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quirelake.functions import text
 
@@ -127,7 +128,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _ratios(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quirelake.functions.unicode import ALNUM, DIGITS, NL, STOPS, WORD, WS
 
@@ -87,7 +88,7 @@ def markup_text(c: Column) -> Column:
     return norm_ws(out)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _unescape(column: pa.Array) -> pa.Array:
     from html import unescape
 
