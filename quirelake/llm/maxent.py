@@ -114,27 +114,34 @@ def history(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def rows_of(features: np.ndarray, rows: int, given: np.ndarray | None = None) -> np.ndarray:
-    """Rows of a table; given: the class with which the features are conjoined."""
+    """Rows of a table, of which there are a power of two; given: the class with which the features are conjoined."""
     if given is not None:
         features = _text.mix(features + (given.astype(np.uint64)[:, None] + _U(1)) * _U(0x9E3779B97F4A7C15))
-    return (features % _U(rows)).astype(np.int64)
+    return (features & _U(rows - 1)).astype(np.int64)
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
+def logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each history, less their maximum."""
+    z = np.take(table, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z = z + table[rows[:, k]]
+        z += np.take(table, rows[:, k], axis=0)
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def log_softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of the target of each history."""
+    z = logits(table, rows)
+    own = z[np.arange(len(target)), target]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
     group, slot = ids // SLOTS, ids % SLOTS
-    at = np.arange(len(ids))
-    by_class = log_softmax(model.by_class, rows_of(features, len(model.by_class)))
-    by_word = log_softmax(model.by_word, rows_of(features, len(model.by_word), group))
-    return (by_class[at, group] + by_word[at, slot]).astype(np.float64)
+    by_class = log_softmax(model.by_class, rows_of(features, len(model.by_class)), group)
+    by_word = log_softmax(model.by_word, rows_of(features, len(model.by_word), group), slot)
+    return (by_class + by_word).astype(np.float64)
 
 
 class Learner:
@@ -146,19 +153,27 @@ class Learner:
         self.met = np.zeros(len(table), np.float32)
 
     def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        error = np.exp(log_softmax(self.table, rows))
+        error = logits(self.table, rows)
+        np.exp(error, out=error)
+        error /= error.sum(axis=1, keepdims=True)
         error[np.arange(len(target)), target] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.diff(flat, prepend=-1))
-        count = np.diff(first, append=len(flat)).astype(np.float32)
-        grad = np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
-        row = flat[first]
-        self.met[row] += count
-        grad /= np.sqrt(count)[:, None]
-        self.past[row] += np.square(grad).mean(axis=1)
-        self.table[row] -= self.rate * grad / np.sqrt(self.past[row])[:, None] / FEATURES
+        error = np.ascontiguousarray(error.T, np.float64)
+        for own in np.ascontiguousarray(rows.T):
+            there = np.zeros(len(self.table), bool)
+            there[own] = True
+            row = np.flatnonzero(there)
+            if len(row) == 1:
+                count, grad = np.array([len(own)], np.float32), error.sum(axis=1)[None].astype(np.float32)
+            else:
+                code = np.empty(len(self.table), np.int64)
+                code[row] = np.arange(len(row))
+                code = code[own]
+                count = np.bincount(code, minlength=len(row)).astype(np.float32)
+                grad = np.stack([np.bincount(code, e, minlength=len(row)) for e in error], axis=1).astype(np.float32)
+            self.met[row] += count
+            grad /= np.sqrt(count)[:, None]
+            self.past[row] += np.square(grad).mean(axis=1)
+            self.table[row] -= self.rate * grad / np.sqrt(self.past[row])[:, None] / FEATURES
 
 
 def trained(documents: DataFrame, p: Params = Params()) -> Model:
