@@ -87,16 +87,16 @@ def repetition_ratio(c: Column) -> Column:
 
 
 def repetition_ratios(documents: DataFrame, key: str, column: str) -> DataFrame:
-    """key, n_tokens and repetition_ratio of every row, by counting tokens in groups.
+    """key, n_tokens and repetition_ratio of every key, by counting tokens in groups: for texts too long to sort within a row.
 
-    Tokens are counted map-side before the one shuffle by key; a text of many
-    repeats therefore sends few rows.
+    Equal tokens of a key are counted before they are shuffled; a text without
+    tokens stays as a row without a token.
     """
-    counts = documents.select(key, F.explode(text.tokens(F.col(column))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    every = documents.select(key, F.explode_outer(text.tokens(F.col(column))).alias("token"))
+    counts = every.groupBy(key, "token").agg(F.count("token").alias("n"))
     tops = counts.groupBy(key).agg(F.sum("n").alias("n_tokens"), F.max("n").alias("top"))
-    out = documents.select(key).join(tops, key, "left")
     ratio = F.when(F.col("n_tokens") >= LEAST_TOKENS, F.col("top") / F.col("n_tokens")).otherwise(F.lit(0.0))
-    return out.select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), ratio.alias("repetition_ratio"))
+    return tops.select(key, "n_tokens", ratio.alias("repetition_ratio"))
 
 
 def is_degenerate(ratio: Column, most: float = MOST_REPETITION) -> Column:
