@@ -159,14 +159,14 @@ def similar_in_node(summary: np.ndarray, least: int) -> list[tuple[int, int]]:
     out = []
     for i in range(n):
         others = np.flatnonzero(group != group[i])
-        others = others[others > i]
         if not len(others):
-            continue
+            break  # all in one group
+        others = others[others > i]
         near = others[(summary[others] == summary[i]).sum(axis=1) >= least]
-        for j in near:
-            if group[j] != group[i]:
-                out.append((i, int(j)))
-                group[group == group[j]] = group[i]
+        met, first = np.unique(group[near], return_index=True)
+        if len(met):
+            out += [(i, int(j)) for j in near[first]]
+            group[np.isin(group, met)] = group[i]
     return out
 
 
@@ -250,11 +250,12 @@ def groups(documents: DataFrame, p: Params = Params()) -> DataFrame:
     copies = known.select("doc_id", "whole").withColumn("rep", F.min("doc_id").over(same)).where("doc_id > rep").select("doc_id", "rep").distinct()
     copies = durable.written(copies, "copies")
     nodes = known.select("doc_id", "roots").join(copies.select("doc_id"), "doc_id", "left_anti").select(F.explode("roots").alias("node"), "doc_id")
-    compare = None
+    compare, levels = None, []
     for level in range(1, p.levels + 1):
         counted = nodes.distinct() if level == 1 else nodes
         counted = counted.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1")
         counted = durable.written(counted, f"level-{level}")
+        levels.append(counted)
         last = level == p.levels
         ready = counted.select("node", "doc_id") if last else counted.where(F.col("n") <= p.small).select("node", "doc_id")
         compare = ready if compare is None else compare.unionAll(ready)
@@ -269,6 +270,8 @@ def groups(documents: DataFrame, p: Params = Params()) -> DataFrame:
     pairs = rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(compared(p), "a long, b long")
     edges = pairs.unionAll(copies.select(F.col("rep").cast("long").alias("a"), F.col("doc_id").cast("long").alias("b"))).distinct()
     found = components(edges)
+    for t in [known, copies, *levels]:  # the edges are written by now
+        durable.discard(t)
     ends = found.unionAll(found.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
     kind = documents.schema["doc_id"].dataType
     return ends.select(F.col("doc_id").cast(kind), F.col("group_id").cast(kind), (F.col("doc_id") == F.col("group_id")).alias("keep"))

@@ -340,7 +340,9 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     n = known.count()
     if n < 2:
         return spark.createDataFrame([], RESULT)
-    edges = durable.written(adjacency(graph(known, p)), "adjacency")
+    built = graph(known, p)
+    edges = durable.written(adjacency(built), "adjacency")
+    durable.discard(built)
     dims = known.select(F.size("vec")).first()[0]
     size = n * (dims * 4 + 8) + edges.agg(F.sum(F.size("to"))).first()[0] * 4
     return _searched(known, edges, p) if size <= p.broadcast_bytes else _joined(known, edges, p, p.beam(n))

@@ -147,6 +147,7 @@ def packed(documents: DataFrame, weights: Mapping[str | None, int] | None = None
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = slim.repartitionByRange(parts, "source", "doc_id").sortWithinPartitions("source", "doc_id", "n")
     ranged = durable.written(ranged.withColumn("part", F.spark_partition_id()), "packing-queues")
+    durable.discard(slim)
     sums = ranged.groupBy("source", "part").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     names = sorted({r["source"] for r in sums}, key=lambda x: (x is not None, x or ""))
     if len(names) > MAX_SOURCES:

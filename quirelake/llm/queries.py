@@ -51,7 +51,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """The documents that are kept, with their scores; all others are rejected."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
