@@ -46,6 +46,8 @@ _SPAN = 40.0
 class Params:
     """max_positives bounds the sample of labelled rows.
 
+    A feature counts if its log ratio of unlabelled to positive rates is
+    least_ratio at least and its count is least_deviation standard deviations off.
     A document is kept if its score is above that of all but a share
     ``sacrificed`` of the trusted positives that were held out of training.
     """
@@ -53,7 +55,7 @@ class Params:
     max_positives: int = 8192
     smoothing: float = 0.0005
     least_ratio: float = 0.35
-    least_deviation: float = 3.0
+    least_deviation: float = 2.5
     rounds: int = 2
     batch: int = 256
     rate: float = 0.3
