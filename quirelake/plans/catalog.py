@@ -17,7 +17,7 @@ from quirelake.functions import metrics, text
 from quirelake.functions.unicode import ALNUM, DIGITS, WORD, WS
 from quirelake.operators import engines, layout, markup, render, report, routing, structure
 from quirelake.plans import cache
-from quirelake.sources import config
+from quirelake.sources import config, epub, sinks
 
 FLAGSHIP = "n7_repetition"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,3 +695,26 @@ def j8_challengers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e1_fake_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.col("text"), "UTF-8").alias("content"))
     return engines.run_engine(images, engines.FakeEngine, ["doc_id"]).select("doc_id", "text", "engine", F.col("error").isNotNull().alias("failed"))
+
+
+# ---- books there and back
+
+@query("s1_epub_round_trip", f"WITH {PAGES_SQL} SELECT book, index AS spine_pos, CAST(length({NORM('text')}) AS INTEGER) AS text_len, 'text' AS type FROM pages_")
+def s1_epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources written as EPUB files (K3, C12) and read again (S1 to S9, J1, J2), all where their rows are."""
+    own = page_table(spark, sf_dir)
+    body = F.concat(F.lit("<html><body><p>"), text.escape(F.col("text")), F.lit("</p></body></html>"))
+    docs = own.select("book", "index", F.concat(F.lit("p"), F.col("index").cast("string"), F.lit(".xhtml")).alias("file"), F.col("book").alias("title"), F.lit(None).cast("int").alias("page_number"), body.alias("xhtml"))
+    read = epub.documents(sinks.epubs(docs, render.nav_documents(docs))).where("error IS NULL")
+    kinds = routing.classify(read).select("book", F.col("index").alias("spine_pos"), F.when(F.col("type") == "empty", F.lit("text")).otherwise(F.col("type")).alias("type"))
+    return read.select("book", "spine_pos", "text_len").join(kinds, ["book", "spine_pos"])
+
+
+@query("e9_rewrite_or_fallback", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'rewritten' ELSE 'plain' END AS body FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def e9_rewrite_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's rewrites that are faithful replace the plain text (R8, R11); every other one here loses half of its text."""
+    b = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike("[^\\x00-\\x7f]"))
+    asked = b.withColumn("prompt", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.expr("substr(text, 1, length(text) div 2)")))
+    made = engines.rewrite(asked, lambda: lambda t: f"<p>{t}</p>", ["item_id", "text"], "prompt")
+    ok = metrics.verdict(F.col("text"), F.col("candidate"))["ok"]
+    return made.select("item_id", routing.fallback(ok, F.lit("rewritten"), F.lit("plain")).alias("body"))
