@@ -1,35 +1,44 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The vocabulary is the most frequent words of the corpus and some slots that
-rarer words share by hash. Words are put into classes by frequency, and
-
-    P(word | history) = P(class | history) * P(word | class, history)
-
-with a softmax over the classes and one over the words of the class. Each is
-log-linear in four features of the history: nothing (a bias), the last word, the
-last two words (a bigram) and the word before the last (a skip). Features, with
-the class for the second softmax, are hashed to rows of a table of weights.
-
-Training is one pass a round over every word of the corpus: tasks start from
-the broadcast weights and take minibatch gradient steps, scaled by past
-gradients; the tables they end with are averaged row by row, each row weighted
-by how often a task has met it. The sums are made by Spark, in blocks of rows.
-Scoring gathers the rows of a batch of words in numpy.
+Every word that occurs at least twice has a probability of its own. The words
+are the leaves of a Huffman tree of ``BRANCHES`` branches a node, whose nodes
+are classes of words of like frequency, classes of classes and so on, and
+
+    P(word | history) = product over the nodes of the path of P(branch | node, history)
+
+with a softmax over the branches of every node. A frequent word has one node or
+two above it, a rare one some more, so the mean work a word follows the entropy
+of the words and not their number. Words that occur once share leaves by hash,
+as many as the root of the number of the others; a leaf of k such words gives
+each of them 1 / (k + 1) of its probability and leaves as much to unseen words.
+
+Each softmax is log-linear: the logarithms of the shares that the branches have
+in the counts, and four features of the history: nothing (a bias), the last
+word, the last two words (a bigram) and the word before the last (a skip).
+Features, with the node for all but the root's softmax, are hashed to rows of a
+table of weights; the rows grow with the number of leaves.
+
+Training is one pass a round over every word of the corpus: tasks, two a core,
+start from the broadcast weights and take minibatch gradient steps, scaled by
+past gradients; the tables they end with are averaged row by row, each row
+weighted by how often a task has met it. The sums are made by Spark, in blocks
+of rows. Scoring gathers the rows of a batch of words in numpy.
 
 What is gathered from the corpus are counts of every distinct word and the
-weights of every task, so both follow the input; the driver receives the top of
-the vocabulary and one set of weights, of fixed size.
+weights of every task; the driver receives the words that occur at least twice
+and one set of weights, and both follow the input, as does what is broadcast.
 
 Defined results. Null and empty texts have no words; their log probability is 0
 and their perplexity is NaN. Repeated rows count as often as they occur. Words
-of equal count are ranked by hash. An empty table gives no rows. Columns other
+of equal count are ranked by hash, and an unseen word scores as one that occurs
+once in its leaf. An empty table gives no rows. Columns other
 than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +46,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import _text
+from quirelake.plans import durable
 
 _U = np.uint64
-CLASSES = 32
-SLOTS = 32
-WORDS = CLASSES * SLOTS
-RARE = 64
+BRANCHES = 32
+LEAST = 2  # occurrences of a word that has a leaf of its own
+RARE = 64  # leaves that words of fewer occurrences share, at least
+WORDS = 1024  # leaves of the tree, at least
+START = 1 << 29  # stands for words before the beginning of a text
 FEATURES = 4
 BLOCKS = 16
 
 
 @dataclass(frozen=True)
 class Params:
-    class_rows: int = 1 << 13
+    class_rows: int = 1 << 13  # at least
     word_rows: int = 1 << 14
+    leaves_a_row: tuple[int, int] = (8, 4)
     rounds: int = 2
     batch: int = 8192
     rate: float = 0.4
@@ -58,14 +70,23 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    words: np.ndarray  # hashes of the frequent words, sorted
+    words: np.ndarray  # hashes of the words with a leaf of their own, sorted
     ids: np.ndarray
-    by_class: np.ndarray  # rows of weights of the classes
-    by_word: np.ndarray  # rows of weights of the words of a class
+    within: np.ndarray  # log probability of a word in each shared leaf
+    parent: np.ndarray  # node above each leaf, then above each node; the root is node 0
+    branch: np.ndarray
+    prior: np.ndarray  # log shares of the branches of each node
+    by_class: np.ndarray  # rows of weights of the root
+    by_word: np.ndarray  # rows of weights of the other nodes
+
 
+def leaves(words: int) -> tuple[int, int]:
+    """Number of the first shared leaf and of shared leaves for so many words with leaves of their own."""
+    return max(words, WORDS - RARE), max(RARE, 1 << (words.bit_length() // 2))
 
-def vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words, sorted, and their ids by falling frequency, over all texts."""
+
+def vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of at least LEAST occurrences: hashes, sorted, and ids by falling frequency; counts of all leaves, and of words in each shared leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -84,64 +105,134 @@ def vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         yield from flush()
 
-    found = documents.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(WORDS - RARE).toArrow()["h"].to_numpy().view(np.uint64)
-    order = np.argsort(top)
-    return top[order], order
+    found = durable.written(documents.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    own = found.where(F.col("n") >= LEAST).toArrow()
+    words, n = own["h"].to_numpy().view(np.uint64), own["n"].to_numpy()
+    first, shared = leaves(len(words))
+    slot = F.col("h").bitwiseAND(shared - 1)
+    rest = found.where(F.col("n") < LEAST).groupBy(slot.alias("slot")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).toArrow()
+    durable.discard(found)
+    counts, members = np.zeros(first + shared, np.int64), np.zeros(shared, np.int64)
+    ranked = np.lexsort((words.view(np.int64), -n))
+    counts[: len(words)] = n[ranked]
+    counts[first + rest["slot"].to_numpy()] = rest["n"].to_numpy()
+    members[rest["slot"].to_numpy()] = rest["words"].to_numpy()
+    ids = np.empty(len(words), np.int32)
+    ids[ranked] = np.arange(len(words))
+    order = np.argsort(words)
+    return words[order], ids[order], counts, members
+
+
+def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman tree over leaves: node above each leaf and node, branch of it, and log shares of the branches of each node."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    weight, sums, below = np.maximum(counts[order], 0.5).tolist(), [], []
+    leaf = node = 0
+    while n - leaf + len(sums) - node > 1:
+        total = 0
+        for _ in range(BRANCHES if sums else (n - 2) % (BRANCHES - 1) + 2):
+            if leaf < n and (node == len(sums) or weight[leaf] <= sums[node]):
+                below.append(leaf)
+                total += weight[leaf]
+                leaf += 1
+            else:
+                below.append(n + node)
+                total += sums[node]
+                node += 1
+        sums.append(total)
+    # the node made last is the root
+    nodes, below = len(sums), np.array(below)
+    first = (n - 2) % (BRANCHES - 1) + 2
+    cut = np.maximum(0, np.arange(nodes) * BRANCHES - BRANCHES + first)
+    own = np.repeat(np.arange(nodes), np.diff(np.append(cut, len(below))))
+    branch_of = np.arange(len(below)) - cut[own]
+    prior = np.full((nodes, BRANCHES), -1e9, np.float32)
+    prior[nodes - 1 - own, branch_of] = np.log(np.array(weight + sums)[below] / np.array(sums)[own])
+    inner = below >= n
+    item = np.where(inner, n + nodes - 1 - (below - n), order[np.where(inner, 0, below)])
+    parent, branch = np.zeros(n + nodes, np.int32), np.zeros(n + nodes, np.int8)
+    parent[item], branch[item] = nodes - 1 - own, branch_of
+    return parent, branch, prior
+
+
+def paths(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Branch of the root towards each word; place of the word, node and branch of all other steps of the paths."""
+    n = len(model.parent) - len(model.prior)
+    root, who, at = np.empty(len(ids), np.int64), np.arange(len(ids)), ids
+    steps = []
+    while len(who):
+        node, branch = model.parent[at], model.branch[at]
+        root[who[node == 0]] = branch[node == 0]
+        on = node > 0
+        who, node = who[on], node[on]
+        steps.append((who, node, branch[on]))
+        at = n + node
+    if not steps:
+        return root, who, who, who
+    where, node, branch = (np.concatenate(x).astype(np.int64) for x in zip(*steps, strict=True))
+    return root, where, node, branch
 
 
 def word_ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    rare = (WORDS - RARE + (hashes & _U(RARE - 1))).astype(np.int64)
-    if not len(words):
-        return rare
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, ids[at], rare)
+    first, shared = leaves(len(words))
+    one, back = np.unique(hashes, return_inverse=True)  # sorted, the search stays within the cache
+    found = (first + (one & _U(shared - 1)).astype(np.int64)).astype(np.int64)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, one), len(words) - 1)
+        found = np.where(words[at] == one, ids[at], found)
+    return found[back]
 
 
 def history(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hashed features of the words before each word of documents, one column each."""
     back = []
     for k in (1, 2):
-        word = np.full(len(ids), WORDS + k, np.int64)  # before the beginning
+        word = np.full(len(ids), START + k, np.int64)  # before the beginning
         word[k:] = ids[:-k] if k < len(ids) else ids[:0]
         for j in range(k):
             starts = bounds[:-1] + j
-            word[starts[starts < bounds[1:]]] = WORDS + k
+            word[starts[starts < bounds[1:]]] = START + k
         back.append(word.astype(np.uint64))
     one, two = back
-    kinds = [np.full(len(ids), 1, np.uint64), (one << _U(2)) + _U(2), (((two << _U(20)) + one) << _U(2)) + _U(3), (two + _U(1 << 40)) << _U(2)]
+    kinds = [np.full(len(ids), 1, np.uint64), (one << _U(2)) + _U(2), (((two << _U(30)) + one) << _U(2)) + _U(3), (two + _U(1 << 60)) << _U(2)]
     return np.stack([_text.mix(x) for x in kinds], axis=1)
 
 
 def rows_of(features: np.ndarray, rows: int, given: np.ndarray | None = None) -> np.ndarray:
-    """Rows of a table, of which there are a power of two; given: the class with which the features are conjoined."""
+    """Rows of a table, of which there are a power of two; given: the nodes with which the features are conjoined."""
     if given is not None:
         features = _text.mix(features + (given.astype(np.uint64)[:, None] + _U(1)) * _U(0x9E3779B97F4A7C15))
     return (features & _U(rows - 1)).astype(np.int64)
 
 
-def logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each history, less their maximum."""
+def logits(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Prior and sums of the rows of each history, less their maximum."""
     z = np.take(table, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += np.take(table, rows[:, k], axis=0)
+    z += prior
     z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of the target of each history."""
-    z = logits(table, rows)
+    z = logits(table, rows, prior)
     own = z[np.arange(len(target)), target]
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
-    group, slot = ids // SLOTS, ids % SLOTS
-    by_class = log_softmax(model.by_class, rows_of(features, len(model.by_class)), group)
-    by_word = log_softmax(model.by_word, rows_of(features, len(model.by_word), group), slot)
-    return (by_class + by_word).astype(np.float64)
+    root, where, node, branch = paths(model, ids)
+    out = log_softmax(model.by_class, rows_of(features, len(model.by_class)), model.prior[0], root).astype(np.float64)
+    below = log_softmax(model.by_word, rows_of(features[where], len(model.by_word), node), model.prior[node], branch)
+    out += np.bincount(where, below, minlength=len(ids))
+    first = len(model.parent) - len(model.prior) - len(model.within)
+    shared = ids >= first
+    out[shared] += model.within[ids[shared] - first]
+    return out
 
 
 class Learner:
@@ -152,8 +243,10 @@ class Learner:
         self.past = np.full(len(table), 1e-4, np.float32)
         self.met = np.zeros(len(table), np.float32)
 
-    def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        error = logits(self.table, rows)
+    def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
+        if not len(target):
+            return
+        error = logits(self.table, rows, prior)
         np.exp(error, out=error)
         error /= error.sum(axis=1, keepdims=True)
         error[np.arange(len(target)), target] -= 1
@@ -178,16 +271,19 @@ class Learner:
 
 def trained(documents: DataFrame, p: Params = Params()) -> Model:
     """Vocabulary and weights from every word of the corpus."""
-    words, ids = vocabulary(documents)
-    model = Model(words, ids, np.zeros((p.class_rows, CLASSES), np.float32), np.zeros((p.word_rows, SLOTS), np.float32))
+    words, ids, counts, members = vocabulary(documents)
+    rows = [max(least, 1 << (len(counts) // each).bit_length() - 1) for least, each in zip((p.class_rows, p.word_rows), p.leaves_a_row, strict=True)]
+    by_class, by_word = (np.zeros((n, BRANCHES), np.float32) for n in rows)
+    model = Model(words, ids, -np.log1p(members), *tree(counts), by_class, by_word)
     for _ in range(p.rounds):
         model = _round(documents, model, p)
     return model
 
 
 def _round(documents: DataFrame, model: Model, p: Params) -> Model:
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    size = {0: p.class_rows // BLOCKS, 1: p.word_rows // BLOCKS}
+    sc = documents.sparkSession.sparkContext
+    shared = sc.broadcast(model)
+    size = {0: len(model.by_class) // BLOCKS, 1: len(model.by_word) // BLOCKS}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, learners = shared.value, None
@@ -198,34 +294,40 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
                 features = history(own, t.bounds)
                 for low in range(0, len(own), p.batch):
                     some, seen = own[low : low + p.batch], features[low : low + p.batch]
-                    learners[0].step(rows_of(seen, p.class_rows), some // SLOTS)
-                    learners[1].step(rows_of(seen, p.word_rows, some // SLOTS), some % SLOTS)
-        if learners:
-            parts = []
-            for k, x in enumerate(learners):
-                for i in range(BLOCKS):
-                    own = slice(i * size[k], (i + 1) * size[k])
-                    parts.append(np.column_stack([x.met[own], x.table[own] * x.met[own, None]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(2 * BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    root, where, node, branch = paths(model, some)
+                    learners[0].step(rows_of(seen, len(model.by_class)), model.prior[0], root)
+                    learners[1].step(rows_of(seen[where], len(model.by_word), node), model.prior[node], branch)
+        for k, x in enumerate(learners or ()):
+            for i in range(BLOCKS):
+                own = slice(i * size[k], (i + 1) * size[k])
+                part = np.column_stack([x.met[own], x.table[own] * x.met[own, None]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k * BLOCKS + i], pa.int32()), pa.array([part], pa.binary())], ["block", "data"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-                own = np.frombuffer(data, np.float32).astype(np.float64)
-                total[block] = total.get(block, 0) + own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "data"])
+            for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.float32).reshape(-1, BRANCHES + 1)
+                if block in total:
+                    total[block] += own
+                else:
+                    total[block] = own.astype(np.float64)
+        for block, x in total.items():
+            # rows that no task has met are told by a count of 0
+            x[:, 1:] /= np.maximum(x[:, :1], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
-    found = documents.select("text").mapInArrow(learn, schema).repartitionById(2 * BLOCKS, "block").mapInArrow(add, schema).collect()
+    learnt = documents.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
+    found = learnt.repartitionById(2 * BLOCKS, "block").mapInArrow(mean, schema).toArrow()
     shared.unpersist()
     tables = [model.by_class.copy(), model.by_word.copy()]
-    for r in found:
-        k, i = divmod(r["block"], BLOCKS)
-        own = np.frombuffer(bytes(r["data"])).reshape(size[k], -1)
+    for block, data in zip(found["block"].to_pylist(), found["data"], strict=True):
+        k, i = divmod(block, BLOCKS)
+        own = np.frombuffer(data.as_buffer(), np.float32).reshape(size[k], -1)
         met = own[:, 0] > 0
-        tables[k][i * size[k] : (i + 1) * size[k]][met] = (own[met, 1:] / own[met, :1]).astype(np.float32)
-    return Model(model.words, model.ids, *tables)
+        tables[k][i * size[k] : (i + 1) * size[k]][met] = own[met, 1:]
+    return replace(model, by_class=tables[0], by_word=tables[1])
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -68,3 +68,26 @@ def test_odd_rows(spark, model):
     assert out[2].n_words == 30_000 and out[3].log_prob == out[4].log_prob
     empty = maxent.trained(docs.limit(0))
     assert maxent.scored(docs.limit(0), empty).count() == 0
+
+
+def test_every_word_has_its_share(spark):
+    r = random.Random(4)
+    words = [f"v{i}" for i in range(3000) for _ in range(2 + 300 // (i + 1))] + [f"once{i}" for i in range(500)]
+    r.shuffle(words)
+    docs = make(spark, [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)])
+    model = maxent.trained(docs)
+    assert len(model.words) == 3000  # all but those that occur once
+    every = sorted(set(words)) + [f"unseen{i}" for i in range(20)]
+    out = {every[x.doc_id]: x.log_prob for x in maxent.scored(make(spark, every), model).collect()}
+    assert sum(math.exp(out[w]) for w in set(words)) < 1.001  # not a whole slot's probability for each of its words
+    mean = lambda start, some: sum(out[f"{start}{i}"] for i in some) / len(some)
+    assert mean("v", range(20)) > mean("v", range(1000, 3000)) + 1
+    assert mean("v", range(1000, 3000)) > mean("unseen", range(20))
+
+
+def test_tree_follows_counts():
+    counts = np.array([1 << min(i // 40, 20) for i in range(5000)])
+    parent, branch, prior = maxent.tree(counts)
+    model = maxent.Model(None, None, np.zeros(0), parent, branch, prior, np.zeros((16, 32), np.float32), np.zeros((16, 32), np.float32))
+    log = maxent.log_probabilities(model, np.arange(5000), np.zeros((5000, 4), np.uint64))
+    assert np.allclose(np.exp(log), counts / counts.sum(), rtol=1e-3)
