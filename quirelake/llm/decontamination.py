@@ -13,9 +13,12 @@ within floor(rate * n) word edits of the item. The search:
    that are close by edits are close by Hamming distance. Items are embedded by
    the same walks.
 3. Bit-sampling LSH: a table is keyed by a few sampled steps of a walk. Tables
-   are repeated, some to a walk, until pairs at the limit of edits are met with
-   the target recall; window and item of a common key are a candidate pair.
+   are repeated, some to a walk; window and item of a common key are a candidate
+   pair. Most leaks are met here, which tells how few edits are to be beaten.
 4. Every candidate pair is verified by its exact edit distance.
+5. All windows that the triple bound leaves for a text and an item, at the edits
+   found so far or at the limit, are verified too, so no leak is missed
+   wherever its edits are, and the edits and the first word are the least.
 
 Plan: one scan of the documents, no shuffle. The benchmark is broadcast in
 slices of at most ``SLICE_WORDS`` words; one that is larger is searched in
@@ -153,14 +156,20 @@ def search(column: pa.Array, items: Items) -> list[tuple[int, int, int, int]]:
     count = len(items.ids)
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
     likely: list[np.ndarray] = []  # place in held * count + item, where the text has enough triples of the item
+    common: list[np.ndarray] = []  # and where those triples are
     for t in _text.tokenised(column):
         triples = _text.rolling(t.hashes, 3)
         at = np.flatnonzero(items.filter[(triples >> _U(64 - _BITS)).astype(np.int64)])
         doc = np.searchsorted(t.bounds, at, "right") - 1
         at, doc = (x[at + 3 <= t.bounds[doc + 1]] for x in (at, doc))
         hit, own = expanded(*(np.searchsorted(items.triples, triples[at], side) for side in ("left", "right")))
-        key, seen = np.unique(doc[hit] * count + items.owner[own], return_counts=True)
+        pair = doc[hit] * count + items.owner[own]
+        key, seen = np.unique(pair, return_counts=True)
         key = key[seen >= items.need[key % count]]
+        some = np.flatnonzero(np.isin(pair, key))
+        some = some[np.argsort(pair[some], kind="stable")]
+        if len(key):
+            common += np.split((at - t.bounds[doc])[hit[some]], np.searchsorted(pair[some], key)[1:])
         at, doc = (x[np.unique(hit)] for x in (at, doc))
         docs = np.unique(key // count)
         likely.append((len(held) + np.searchsorted(docs, key // count)) * count + key % count)
@@ -198,6 +207,24 @@ def search(column: pa.Array, items: Items) -> list[tuple[int, int, int, int]]:
                 for i in np.flatnonzero(found <= items.edits[x]):
                     key, value = (held[place[w[i]]][0], int(x[i])), (int(found[i]), int(first[w[i]]))
                     best[key] = min(best.get(key, value), value)
+    todo = [np.zeros((0, 4), np.int64)]
+    for pair, at in zip(allowed.tolist(), common, strict=True):
+        i, x = divmod(pair, count)
+        most = best.get((held[i][0], x), (int(items.edits[x]),))[0]
+        need, length = max(1, int(items.size[x]) - 2 - 3 * most), int(items.size[x]) - 2 + most
+        # first words of the stretches that have enough triples of the item
+        low, high = np.maximum(0, at[need - 1 :] - length + 1), at[: len(at) - need + 1] + 1
+        start = np.unique(expanded(low, np.maximum(low, high))[1])
+        todo.append(np.column_stack([np.full((len(start), 3), (most, i, x)), start]))
+    rest = np.concatenate(todo)
+    rest = rest[np.lexsort((items.size[rest[:, 2]], rest[:, 0]))]
+    for k in range(0, len(rest), 2048):
+        most, w, x, start = rest[k : k + 2048].T
+        stretches = [held[i][1][a : a + items.size[j] + m] for m, i, j, a in rest[k : k + 2048]]
+        found = distances([items.words[j] for j in x], stretches, int(most.max()))
+        for i in np.flatnonzero(found <= most):
+            key, value = (held[w[i]][0], int(x[i])), (int(found[i]), int(start[i]))
+            best[key] = min(best.get(key, value), value)
     return [(r, x, start, e) for (r, x), (e, start) in sorted(best.items())]
 
 

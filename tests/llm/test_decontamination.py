@@ -66,3 +66,20 @@ def test_odd_rows(spark):
     assert decontamination.leaks(documents, benchmark.limit(0)).count() == 0
     assert decontamination.without_leaks(documents, benchmark.limit(0)).count() == len(docs)
     assert decontamination.leaks(documents.limit(0), benchmark).count() == 0
+
+
+def test_edits_wherever_they_are(spark):
+    r = random.Random(6)
+    items = [[f"w{r.randint(0, 3000)}" for _ in range(n)] for n in (30, 59, 120, 200) for _ in range(5)]
+    docs = []
+    for x in items:
+        most, noise = int(P.rate * len(x)), [f"x{r.randint(0, 10**9)}" for _ in range(40)]
+        cut = sorted(r.sample(range(len(x)), len(x) - most))
+        more = list(x)
+        for _ in range(most):
+            more.insert(r.randint(1, len(more) - 1), f"x{r.randint(0, 10**9)}")
+        docs += [noise + x[:3] + x[3 + most :] + noise, x[most:] + noise, noise + x[:-most] + noise, noise + [x[i] for i in cut] + noise, noise + more + noise]
+    documents, benchmark = frames(spark, [(i, " ".join(x)) for i, x in enumerate(items)], [(i, " ".join(w)) for i, w in enumerate(docs)])
+    got = {(x.doc_id, x.item_id): x.edits for x in decontamination.leaks(documents, benchmark).collect()}
+    assert got == {(i, i // 5): distance(items[i // 5], w) for i, w in enumerate(docs)}
+    assert decontamination.without_leaks(documents, benchmark).count() == 0
