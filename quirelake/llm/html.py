@@ -7,9 +7,12 @@ LT tags are in links, of a body with C_b and LC_b,
 
 where a zero count under a fraction is taken as one. The density sum of an
 element is the sum over its children. The element of the greatest sum is found
-among the body and all below it; the least density on its path to the body is
-the threshold, and from the body down the first element that reaches it yields
-its subtree of the greatest sum as the content.
+among the body and all below it; the least density on its path to the body,
+without the body, is the threshold. From the body down, every element that
+reaches it by elements that do yields its subtree of the greatest sum, and the
+content is all of these in document order; tag and density sum are those of the
+element of the greatest sum. Subtrees whose sum is below the threshold too are
+passed over: a footer or notice that is one run of text is dense, but no block.
 
 Pages are parsed one by one in Arrow batches, without a shuffle. The parser is
 iterative and forgiving: unclosed paragraphs, list items, cells and rows end
@@ -149,27 +152,32 @@ def densities(tags: list[str], parents: list[int], inside: list[list]) -> tuple[
     return density, total, body
 
 
-def _below(root: int, parents: list[int]) -> list[int]:
-    """The element and all below it, in document order."""
-    own = {root}
-    for i in range(root + 1, len(parents)):
-        if parents[i] in own:
-            own.add(i)
-    return sorted(own)
-
-
-def content(parents: list[int], density: list[float], total: list[float], body: int) -> int:
-    """The element whose subtree is the content."""
-    below = _below(body, parents)
-    best = max(below, key=lambda i: (total[i], -i))
-    if total[best] <= 0:
-        return body
-    threshold, i = density[best], best
+def content(parents: list[int], density: list[float], total: list[float], body: int) -> tuple[int, list[int]]:
+    """The element of the greatest sum, and the elements whose subtrees are the content, in document order."""
+    n = len(parents)
+    most = list(range(n))  # the element of the greatest sum in each subtree
+    for i in range(n - 1, body, -1):
+        if total[most[i]] >= total[most[parents[i]]] and most[parents[i]] != parents[i] or total[most[i]] > total[most[parents[i]]]:
+            most[parents[i]] = most[i]
+    best = most[body]
+    if total[best] <= 0 or best == body:
+        return best, [body]
+    threshold, i = density[best], parents[best]
     while i != body:
-        i = parents[i]
         threshold = min(threshold, density[i])
-    top = next(i for i in below if density[i] >= threshold)
-    return max(_below(top, parents), key=lambda i: (total[i], -i))
+        i = parents[i]
+    found, reached = set(), {body}
+    marked = set()  # in the content already
+    for i in range(body + 1, n):
+        if parents[i] in marked or i in found:
+            marked.add(i)
+        elif parents[i] in reached and density[i] >= threshold:
+            reached.add(i)
+            if total[most[i]] >= threshold:
+                found.add(most[i])
+                if most[i] == i:
+                    marked.add(i)
+    return best, sorted(found)
 
 
 def text_of(root: int, tags: list[str], inside: list[list]) -> str:
@@ -198,8 +206,8 @@ def extract(page: str) -> tuple[str, str, float]:
     """Text, tag and density sum of the content of a page."""
     tags, parents, inside = parse(page)
     density, total, body = densities(tags, parents, inside)
-    root = content(parents, density, total, body)
-    return text_of(root, tags, inside), tags[root], max(0.0, total[root])
+    best, roots = content(parents, density, total, body)
+    return "\n".join(x for i in roots if (x := text_of(i, tags, inside))), tags[best], max(0.0, total[best])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

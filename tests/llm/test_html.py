@@ -64,3 +64,13 @@ def test_odd_pages(spark):
     assert got[3][1] == "no tags at all" and got[5][1] == "deep text" and got[6][4] == 999_999
     assert sum(x == got[4] for x in out) == 2
     assert html.extracted(pages.limit(0)).count() == 0
+
+
+def test_several_content_blocks():
+    menu = "<div>" + "".join(f'<a href="/{i}">item {i}</a> ' for i in range(12)) + "</div>"
+    block = lambda name, n: f"<section>{''.join(f'<p>{name} paragraph {i} ' + 'with a good deal of running text ' * 6 + '</p>' for i in range(n))}</section>"
+    page = f"<html><body>{menu}<div>{block('first', 6)}{menu}{block('second', 5)}</div>{menu}</body></html>"
+    text, tag, _ = html.extract(page)
+    lines = text.split("\n")
+    assert tag == "section" and "item" not in text
+    assert [x.split()[0] for x in lines] == ["first"] * 6 + ["second"] * 5
