@@ -6,23 +6,24 @@ are classes of words of like frequency, classes of classes and so on, and
 
     P(word | history) = product over the nodes of the path of P(branch | node, history)
 
-with a softmax over the branches of every node. A frequent word has one node or
-two above it, a rare one some more, so the mean work a word follows the entropy
+with a softmax over the branches of every node. A frequent word has a few nodes
+above it, a rare one more, so the mean work a word follows the entropy
 of the words and not their number. Words that occur once share leaves by hash,
 as many as the root of the number of the others; a leaf of k such words gives
 each of them 1 / (k + 1) of its probability and leaves as much to unseen words.
 
-Each softmax is log-linear: the logarithms of the shares that the branches have
-in the counts, and four features of the history: nothing (a bias), the last
-word, the last two words (a bigram) and the word before the last (a skip).
-Features, with the node for all but the root's softmax, are hashed to rows of a
-table of weights; the rows grow with the number of leaves.
+Each softmax is log-linear: a bias, which is the logarithm of the share that a
+branch has in the counts and so needs no training, and three features of the
+history: the last word, the last two words (a bigram) and the word before the
+last (a skip). Features, with the node, are hashed to rows of a table of
+weights, at least as many as there are leaves.
 
 Training is one pass a round over every word of the corpus: tasks, two a core,
 start from the broadcast weights and take minibatch gradient steps, scaled by
 past gradients; the tables they end with are averaged row by row, each row
-weighted by how often a task has met it. The sums are made by Spark, in blocks
-of rows. Scoring gathers the rows of a batch of words in numpy.
+weighted by the squares of the gradients that a task has seen there. The sums
+are made by Spark, in blocks of rows. Scoring gathers the rows of a batch of
+words in numpy.
 
 What is gathered from the corpus are counts of every distinct word and the
 weights of every task; the driver receives the words that occur at least twice
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +51,23 @@ from quirelake.llm import _text
 from quirelake.plans import durable
 
 _U = np.uint64
-BRANCHES = 32
+BRANCHES = 8
+_ONES, _LANES = np.ones(BRANCHES, np.float32), np.arange(BRANCHES)
 LEAST = 2  # occurrences of a word that has a leaf of its own
 RARE = 64  # leaves that words of fewer occurrences share, at least
 WORDS = 1024  # leaves of the tree, at least
 START = 1 << 29  # stands for words before the beginning of a text
-FEATURES = 4
-BLOCKS = 16
+LITTLE = 1e-4
+BLOCK_ROWS = 1 << 14  # rows of a table that are averaged together
+HIGH = 60.0  # bound of logits
 
 
 @dataclass(frozen=True)
 class Params:
-    class_rows: int = 1 << 13  # at least
-    word_rows: int = 1 << 14
-    leaves_a_row: tuple[int, int] = (8, 4)
+    rows: int = 1 << 14  # of the table, at least; else as many as leaves or up to twice as many
     rounds: int = 2
     batch: int = 8192
-    rate: float = 0.4
+    rate: float = 0.1
 
 
 @dataclass(frozen=True)
@@ -76,8 +78,12 @@ class Model:
     parent: np.ndarray  # node above each leaf, then above each node; the root is node 0
     branch: np.ndarray
     prior: np.ndarray  # log shares of the branches of each node
-    by_class: np.ndarray  # rows of weights of the root
-    by_word: np.ndarray  # rows of weights of the other nodes
+    table: np.ndarray  # rows of weights
+
+    @cached_property
+    def paths(self) -> Paths:
+        """Made where it is used, once a worker."""
+        return Paths(self.parent, self.branch, len(self.prior))
 
 
 def leaves(words: int) -> tuple[int, int]:
@@ -156,22 +162,29 @@ def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parent, branch, prior
 
 
-def paths(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Branch of the root towards each word; place of the word, node and branch of all other steps of the paths."""
-    n = len(model.parent) - len(model.prior)
-    root, who, at = np.empty(len(ids), np.int64), np.arange(len(ids)), ids
-    steps = []
-    while len(who):
-        node, branch = model.parent[at], model.branch[at]
-        root[who[node == 0]] = branch[node == 0]
-        on = node > 0
-        who, node = who[on], node[on]
-        steps.append((who, node, branch[on]))
-        at = n + node
-    if not steps:
-        return root, who, who, who
-    where, node, branch = (np.concatenate(x).astype(np.int64) for x in zip(*steps, strict=True))
-    return root, where, node, branch
+class Paths:
+    """The steps from the root to each leaf, one leaf after the other."""
+
+    def __init__(self, parent: np.ndarray, branch: np.ndarray, nodes: int) -> None:
+        n = len(parent) - nodes
+        own, at = [], np.arange(n)
+        who = at
+        while len(who):
+            own.append((who, parent[at], branch[at]))
+            on = parent[at] > 0
+            who, at = who[on], n + parent[at][on]
+        who, node, branch = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(who, kind="stable")
+        self.node, self.branch = node[order], branch[order]
+        self.size = np.bincount(who, minlength=n)
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the word, node and branch of every step of some words."""
+        size = self.size[ids]
+        where = np.repeat(np.arange(len(ids)), size)
+        at = np.arange(len(where)) + np.repeat(self.first[ids] - (np.cumsum(size) - size), size)
+        return where, self.node[at], self.branch[at]
 
 
 def word_ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -195,40 +208,34 @@ def history(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             word[starts[starts < bounds[1:]]] = START + k
         back.append(word.astype(np.uint64))
     one, two = back
-    kinds = [np.full(len(ids), 1, np.uint64), (one << _U(2)) + _U(2), (((two << _U(30)) + one) << _U(2)) + _U(3), (two + _U(1 << 60)) << _U(2)]
+    kinds = [(one << _U(2)) + _U(2), (((two << _U(30)) + one) << _U(2)) + _U(3), (two + _U(1 << 60)) << _U(2)]
     return np.stack([_text.mix(x) for x in kinds], axis=1)
 
 
-def rows_of(features: np.ndarray, rows: int, given: np.ndarray | None = None) -> np.ndarray:
-    """Rows of a table, of which there are a power of two; given: the nodes with which the features are conjoined."""
-    if given is not None:
-        features = _text.mix(features + (given.astype(np.uint64)[:, None] + _U(1)) * _U(0x9E3779B97F4A7C15))
-    return (features & _U(rows - 1)).astype(np.int64)
+def rows_of(features: np.ndarray, nodes: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of the table, of which there are a power of two, for features of histories at nodes: one line for each feature."""
+    own = features.T ^ _text.mix(nodes.astype(np.uint64) + _U(1))
+    own *= _U(0x9E3779B97F4A7C15)
+    own >>= _U(65 - rows.bit_length())
+    return own.view(np.int64)
 
 
-def logits(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Prior and sums of the rows of each history, less their maximum."""
-    z = np.take(table, rows[:, 0], axis=0)
-    for k in range(1, rows.shape[1]):
-        z += np.take(table, rows[:, k], axis=0)
-    z += prior
-    z -= z.max(axis=1, keepdims=True)
-    return z
-
-
-def log_softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of the target of each history."""
-    z = logits(table, rows, prior)
-    own = z[np.arange(len(target)), target]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of each history, prior and sums of its rows, and their exponentials; prior is overwritten."""
+    z = prior
+    for own in rows:
+        z += np.take(table, own, axis=0)
+    np.minimum(z, HIGH, out=z)
+    np.maximum(z, -HIGH, out=z)
+    return z, np.exp(z)
 
 
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
-    root, where, node, branch = paths(model, ids)
-    out = log_softmax(model.by_class, rows_of(features, len(model.by_class)), model.prior[0], root).astype(np.float64)
-    below = log_softmax(model.by_word, rows_of(features[where], len(model.by_word), node), model.prior[node], branch)
-    out += np.bincount(where, below, minlength=len(ids))
+    where, node, branch = model.paths.of(ids)
+    z, e = exponents(model.table, rows_of(features[where], node, len(model.table)), np.take(model.prior, node, axis=0))
+    log = z.ravel()[np.arange(0, z.size, BRANCHES) + branch] - np.log(e @ _ONES)
+    out = np.bincount(where, log, minlength=len(ids))
     first = len(model.parent) - len(model.prior) - len(model.within)
     shared = ids >= first
     out[shared] += model.within[ids[shared] - first]
@@ -236,45 +243,29 @@ def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np
 
 
 class Learner:
-    """Gradient steps on one table."""
+    """Gradient steps on a table, each scaled by the gradients that its row has had."""
 
     def __init__(self, table: np.ndarray, rate: float) -> None:
         self.table, self.rate = table.copy(), rate
-        self.past = np.full(len(table), 1e-4, np.float32)
-        self.met = np.zeros(len(table), np.float32)
+        self.past = np.full(len(table), LITTLE, np.float32)
 
     def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
-        if not len(target):
-            return
-        error = logits(self.table, rows, prior)
-        np.exp(error, out=error)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(target)), target] -= 1
-        error = np.ascontiguousarray(error.T, np.float64)
-        for own in np.ascontiguousarray(rows.T):
-            there = np.zeros(len(self.table), bool)
-            there[own] = True
-            row = np.flatnonzero(there)
-            if len(row) == 1:
-                count, grad = np.array([len(own)], np.float32), error.sum(axis=1)[None].astype(np.float32)
-            else:
-                code = np.empty(len(self.table), np.int64)
-                code[row] = np.arange(len(row))
-                code = code[own]
-                count = np.bincount(code, minlength=len(row)).astype(np.float32)
-                grad = np.stack([np.bincount(code, e, minlength=len(row)) for e in error], axis=1).astype(np.float32)
-            self.met[row] += count
-            grad /= np.sqrt(count)[:, None]
-            self.past[row] += np.square(grad).mean(axis=1)
-            self.table[row] -= self.rate * grad / np.sqrt(self.past[row])[:, None] / FEATURES
+        _, error = exponents(self.table, rows, prior)
+        error /= (error @ _ONES)[:, None]
+        error.ravel()[np.arange(0, error.size, BRANCHES) + target] -= 1
+        square = np.square(error) @ _ONES
+        flat = self.table.ravel()
+        for own in rows:
+            np.add.at(self.past, own, square)
+            scaled = error * (self.rate / np.sqrt(self.past[own]))[:, None]
+            np.subtract.at(flat, (own[:, None] * BRANCHES + _LANES).ravel(), scaled.ravel())
 
 
 def trained(documents: DataFrame, p: Params = Params()) -> Model:
     """Vocabulary and weights from every word of the corpus."""
     words, ids, counts, members = vocabulary(documents)
-    rows = [max(least, 1 << (len(counts) // each).bit_length() - 1) for least, each in zip((p.class_rows, p.word_rows), p.leaves_a_row, strict=True)]
-    by_class, by_word = (np.zeros((n, BRANCHES), np.float32) for n in rows)
-    model = Model(words, ids, -np.log1p(members), *tree(counts), by_class, by_word)
+    rows = max(p.rows, 1 << len(counts).bit_length())
+    model = Model(words, ids, -np.log1p(members), *tree(counts), np.zeros((rows, BRANCHES), np.float32))
     for _ in range(p.rounds):
         model = _round(documents, model, p)
     return model
@@ -283,51 +274,49 @@ def trained(documents: DataFrame, p: Params = Params()) -> Model:
 def _round(documents: DataFrame, model: Model, p: Params) -> Model:
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast(model)
-    size = {0: len(model.by_class) // BLOCKS, 1: len(model.by_word) // BLOCKS}
+    size = min(BLOCK_ROWS, len(model.table))
+    blocks = len(model.table) // size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, learners = shared.value, None
+        model, learner = shared.value, None
         for b in batches:
             for t in _text.tokenised(b.column("text")):
-                learners = learners or (Learner(model.by_class, p.rate), Learner(model.by_word, p.rate))
+                learner = learner or Learner(model.table, p.rate)
                 own = word_ids(t.hashes, model.words, model.ids)
                 features = history(own, t.bounds)
                 for low in range(0, len(own), p.batch):
-                    some, seen = own[low : low + p.batch], features[low : low + p.batch]
-                    root, where, node, branch = paths(model, some)
-                    learners[0].step(rows_of(seen, len(model.by_class)), model.prior[0], root)
-                    learners[1].step(rows_of(seen[where], len(model.by_word), node), model.prior[node], branch)
-        for k, x in enumerate(learners or ()):
-            for i in range(BLOCKS):
-                own = slice(i * size[k], (i + 1) * size[k])
-                part = np.column_stack([x.met[own], x.table[own] * x.met[own, None]]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k * BLOCKS + i], pa.int32()), pa.array([part], pa.binary())], ["block", "data"])
+                    where, node, branch = model.paths.of(own[low : low + p.batch])
+                    seen = features[low : low + p.batch][where]
+                    learner.step(rows_of(seen, node, len(model.table)), np.take(model.prior, node, axis=0), branch)
+        for i in range(blocks if learner else 0):
+            own = slice(i * size, (i + 1) * size)
+            weight = learner.past[own, None] - np.float32(LITTLE)
+            part = np.hstack([weight, learner.table[own] * weight]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["block", "data"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                own = np.frombuffer(data.as_buffer(), np.float32).reshape(-1, BRANCHES + 1)
+                own = np.frombuffer(data.as_buffer(), np.float32).reshape(size, -1)
                 if block in total:
                     total[block] += own
                 else:
                     total[block] = own.astype(np.float64)
         for block, x in total.items():
-            # rows that no task has met are told by a count of 0
-            x[:, 1:] /= np.maximum(x[:, :1], 1)
+            x[:, 1:] /= np.where(x[:, :1] > 0, x[:, :1], 1)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
     learnt = documents.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
-    found = learnt.repartitionById(2 * BLOCKS, "block").mapInArrow(mean, schema).toArrow()
+    found = learnt.repartitionById(blocks, "block").mapInArrow(mean, schema).toArrow()
     shared.unpersist()
-    tables = [model.by_class.copy(), model.by_word.copy()]
+    table = model.table.copy()
     for block, data in zip(found["block"].to_pylist(), found["data"], strict=True):
-        k, i = divmod(block, BLOCKS)
-        own = np.frombuffer(data.as_buffer(), np.float32).reshape(size[k], -1)
-        met = own[:, 0] > 0
-        tables[k][i * size[k] : (i + 1) * size[k]][met] = own[met, 1:]
-    return replace(model, by_class=tables[0], by_word=tables[1])
+        own = np.frombuffer(data.as_buffer(), np.float32).reshape(size, -1)
+        met = own[:, 0] > 0  # other rows stay as they are
+        table[block * size : (block + 1) * size][met] = own[met, 1:]
+    return replace(model, table=table)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -88,6 +88,72 @@ def test_every_word_has_its_share(spark):
 def test_tree_follows_counts():
     counts = np.array([1 << min(i // 40, 20) for i in range(5000)])
     parent, branch, prior = maxent.tree(counts)
-    model = maxent.Model(None, None, np.zeros(0), parent, branch, prior, np.zeros((16, 32), np.float32), np.zeros((16, 32), np.float32))
-    log = maxent.log_probabilities(model, np.arange(5000), np.zeros((5000, 4), np.uint64))
+    model = maxent.Model(None, None, np.zeros(0), parent, branch, prior, np.zeros((16, maxent.BRANCHES), np.float32))
+    log = maxent.log_probabilities(model, np.arange(5000), np.zeros((5000, 3), np.uint64))
     assert np.allclose(np.exp(log), counts / counts.sum(), rtol=1e-3)
+
+
+def test_probabilities_match_plain_python(spark, model):
+    """Word by word with integers and floats of Python, from the paths, hashes and weights alone."""
+    full, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ x >> 33) * 0xFF51AFD7ED558CCD) & full
+        x = ((x ^ x >> 33) * 0xC4CEB9FE1A85EC53) & full
+        return x ^ x >> 33
+
+    n, bits = len(model.parent) - len(model.prior), len(model.table).bit_length() - 1
+    texts = sentences(5, 4) + ["w1", "w1 unseen words w2"]
+    out = {x.doc_id: x.log_prob for x in maxent.scored(make(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        ids = [int(x) for x in maxent.word_ids(_text.word_hashes(t), model.words, model.ids)]
+        log = 0.0
+        for k, word in enumerate(ids):
+            one, two = (ids[k - j] if k >= j else maxent.START + j for j in (1, 2))
+            seen = [mix((one << 2) + 2), mix((((two << 30) + one) << 2) + 3), mix(((two + (1 << 60)) << 2) & full)]
+            at = word
+            while True:
+                node, branch = int(model.parent[at]), int(model.branch[at])
+                rows = [(((h ^ mix(node + 1)) * odd) & full) >> (64 - bits) for h in seen]
+                z = [float(model.prior[node][b]) + sum(float(model.table[r][b]) for r in rows) for b in range(maxent.BRANCHES)]
+                log += z[branch] - math.log(sum(math.exp(max(-60.0, x)) for x in z))
+                if node == 0:
+                    break
+                at = n + node
+            if word >= n - len(model.within):
+                log += float(model.within[word - (n - len(model.within))])
+        assert abs(log - out[i]) < 1e-3 * max(1, abs(log))
+
+
+def test_gradient_matches_differences():
+    """Of the mean loss of a batch, by small changes of every weight."""
+    r = np.random.default_rng(2)
+    table = r.normal(size=(6, maxent.BRANCHES)).astype(np.float32)
+    rows, target = r.integers(0, 6, (3, 20)), r.integers(0, maxent.BRANCHES, 20)
+    prior = r.normal(size=(20, maxent.BRANCHES)).astype(np.float32)
+
+    def loss(w):
+        z = prior.astype(float) + sum(w[x] for x in rows)
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(20), target]).sum()
+
+    want, w = np.zeros(table.shape), table.astype(float)
+    for at in np.ndindex(*table.shape):
+        d = np.zeros(table.shape)
+        d[at] = 1e-5
+        want[at] = (loss(w + d) - loss(w - d)) / 2e-5
+    steps = maxent.Learner(table, 1.0)
+    steps.past[:] = 1e12  # so that a step is a millionth of the gradient
+    steps.table = table.astype(np.float64)
+    steps.step(rows, prior.astype(np.float64), target)
+    np.testing.assert_allclose((table - steps.table) * 1e6, want, atol=1e-3)
+
+
+def test_ties_and_repeated_rows(spark):
+    """Words of equal count get ids by hash, whatever the order of rows; repeated rows count as often as they occur."""
+    texts = ["b a", "a b", "d c", "c d"] * 30
+    one, two = maxent.trained(make(spark, texts)), maxent.trained(make(spark, texts[::-1]))
+    np.testing.assert_array_equal(one.words, two.words)
+    np.testing.assert_array_equal(one.ids, two.ids)
+    assert one.parent.tolist() == two.parent.tolist()
+    out = {x.doc_id: x.log_prob for x in maxent.scored(make(spark, ["a", "b", "c", "d"]), one).collect()}
+    assert max(out.values()) - min(out.values()) < 2
