@@ -18,7 +18,7 @@ history: the last word, the last two words (a bigram) and the word before the
 last (a skip). Features, with the node, are hashed to rows of a table of
 weights, at least as many as there are leaves.
 
-Training is one pass a round over every word of the corpus: tasks, two a core,
+Training is one pass a round over every word of the corpus: tasks, one a core,
 start from the broadcast weights and take minibatch gradient steps, scaled by
 past gradients; the tables they end with are averaged row by row, each row
 weighted by the squares of the gradients that a task has seen there. The sums
@@ -66,7 +66,7 @@ HIGH = 60.0  # bound of logits
 class Params:
     rows: int = 1 << 14  # of the table, at least; else as many as leaves or up to twice as many
     rounds: int = 2
-    batch: int = 8192
+    batch: int = 2048
     rate: float = 0.1
 
 
@@ -308,7 +308,7 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
-    learnt = documents.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
+    learnt = documents.select("text").coalesce(sc.defaultParallelism).mapInArrow(learn, schema)
     found = learnt.repartitionById(blocks, "block").mapInArrow(mean, schema).toArrow()
     shared.unpersist()
     table = model.table.copy()
