@@ -18,11 +18,11 @@ history: the last word, the last two words (a bigram) and the word before the
 last (a skip). Features, with the node, are hashed to rows of a table of
 weights, at least as many as there are leaves.
 
-Training is one pass a round over every word of the corpus: tasks, one a core,
+Training is one pass a round over every word of the corpus: tasks, two a core,
 start from the broadcast weights and take minibatch gradient steps, scaled by
 past gradients; the tables they end with are averaged row by row, each row
-weighted by the squares of the gradients that a task has seen there. The sums
-are made by Spark, in blocks of rows. Scoring gathers the rows of a batch of
+weighted by the squares of the gradients that a task has seen there. Tables go
+to the sums, which Spark makes in blocks of rows, in half precision. Scoring gathers the rows of a batch of
 words in numpy.
 
 What is gathered from the corpus are counts of every distinct word and the
@@ -40,7 +40,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,9 @@ from quirelake.llm import _text
 from quirelake.plans import durable
 
 _U = np.uint64
-BRANCHES = 8
-_ONES, _LANES = np.ones(BRANCHES, np.float32), np.arange(BRANCHES)
+BRANCHES = 7
+LANES = BRANCHES + 1  # of a row of weights; in the last one, the squares of its gradients
+_ONES, _LANES = np.ones(LANES, np.float32), np.arange(LANES)
 LEAST = 2  # occurrences of a word that has a leaf of its own
 RARE = 64  # leaves that words of fewer occurrences share, at least
 WORDS = 1024  # leaves of the tree, at least
@@ -80,11 +80,6 @@ class Model:
     prior: np.ndarray  # log shares of the branches of each node
     table: np.ndarray  # rows of weights
 
-    @cached_property
-    def paths(self) -> Paths:
-        """Made where it is used, once a worker."""
-        return Paths(self.parent, self.branch, len(self.prior))
-
 
 def leaves(words: int) -> tuple[int, int]:
     """Number of the first shared leaf and of shared leaves for so many words with leaves of their own."""
@@ -153,7 +148,7 @@ def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = np.maximum(0, np.arange(nodes) * BRANCHES - BRANCHES + first)
     own = np.repeat(np.arange(nodes), np.diff(np.append(cut, len(below))))
     branch_of = np.arange(len(below)) - cut[own]
-    prior = np.full((nodes, BRANCHES), -1e9, np.float32)
+    prior = np.full((nodes, LANES), -1e9, np.float32)
     prior[nodes - 1 - own, branch_of] = np.log(np.array(weight + sums)[below] / np.array(sums)[own])
     inner = below >= n
     item = np.where(inner, n + nodes - 1 - (below - n), order[np.where(inner, 0, below)])
@@ -162,29 +157,17 @@ def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parent, branch, prior
 
 
-class Paths:
-    """The steps from the root to each leaf, one leaf after the other."""
-
-    def __init__(self, parent: np.ndarray, branch: np.ndarray, nodes: int) -> None:
-        n = len(parent) - nodes
-        own, at = [], np.arange(n)
-        who = at
-        while len(who):
-            own.append((who, parent[at], branch[at]))
-            on = parent[at] > 0
-            who, at = who[on], n + parent[at][on]
-        who, node, branch = (np.concatenate(x) for x in zip(*own, strict=True))
-        order = np.argsort(who, kind="stable")
-        self.node, self.branch = node[order], branch[order]
-        self.size = np.bincount(who, minlength=n)
-        self.first = np.cumsum(self.size) - self.size
-
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the word, node and branch of every step of some words."""
-        size = self.size[ids]
-        where = np.repeat(np.arange(len(ids)), size)
-        at = np.arange(len(where)) + np.repeat(self.first[ids] - (np.cumsum(size) - size), size)
-        return where, self.node[at], self.branch[at]
+def paths(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the word, node and branch of every step from the root to some words, level by level."""
+    n = len(model.parent) - len(model.prior)
+    who, at, steps = np.arange(len(ids)), ids, []
+    while len(who):
+        node = model.parent[at]
+        steps.append((who, node, model.branch[at]))
+        on = np.flatnonzero(node)
+        who, at = who[on], n + node[on]
+    where, node, branch = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (ids,) * 3
+    return where, node, branch
 
 
 def word_ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -225,6 +208,7 @@ def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[n
     z = prior
     for own in rows:
         z += np.take(table, own, axis=0)
+    z[:, BRANCHES] = -HIGH  # no branch
     np.minimum(z, HIGH, out=z)
     np.maximum(z, -HIGH, out=z)
     return z, np.exp(z)
@@ -232,9 +216,9 @@ def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[n
 
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
-    where, node, branch = model.paths.of(ids)
+    where, node, branch = paths(model, ids)
     z, e = exponents(model.table, rows_of(features[where], node, len(model.table)), np.take(model.prior, node, axis=0))
-    log = z.ravel()[np.arange(0, z.size, BRANCHES) + branch] - np.log(e @ _ONES)
+    log = z.ravel()[np.arange(0, z.size, LANES) + branch] - np.log(e @ _ONES)
     out = np.bincount(where, log, minlength=len(ids))
     first = len(model.parent) - len(model.prior) - len(model.within)
     shared = ids >= first
@@ -247,25 +231,28 @@ class Learner:
 
     def __init__(self, table: np.ndarray, rate: float) -> None:
         self.table, self.rate = table.copy(), rate
-        self.past = np.full(len(table), LITTLE, np.float32)
+        self.table[:, BRANCHES] = LITTLE
 
     def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
         _, error = exponents(self.table, rows, prior)
         error /= (error @ _ONES)[:, None]
-        error.ravel()[np.arange(0, error.size, BRANCHES) + target] -= 1
+        flat = error.ravel()
+        flat[np.arange(0, error.size, LANES) + target] -= 1
+        error[:, BRANCHES] = 0
         square = np.square(error) @ _ONES
         flat = self.table.ravel()
         for own in rows:
-            np.add.at(self.past, own, square)
-            scaled = error * (self.rate / np.sqrt(self.past[own]))[:, None]
-            np.subtract.at(flat, (own[:, None] * BRANCHES + _LANES).ravel(), scaled.ravel())
+            first = own * LANES
+            np.add.at(flat, first + BRANCHES, square)
+            scaled = error * (self.rate / np.sqrt(flat[first + BRANCHES]))[:, None]
+            np.subtract.at(flat, (first[:, None] + _LANES).ravel(), scaled.ravel())
 
 
 def trained(documents: DataFrame, p: Params = Params()) -> Model:
     """Vocabulary and weights from every word of the corpus."""
     words, ids, counts, members = vocabulary(documents)
     rows = max(p.rows, 1 << len(counts).bit_length())
-    model = Model(words, ids, -np.log1p(members), *tree(counts), np.zeros((rows, BRANCHES), np.float32))
+    model = Model(words, ids, -np.log1p(members), *tree(counts), np.zeros((rows, LANES), np.float32))
     for _ in range(p.rounds):
         model = _round(documents, model, p)
     return model
@@ -285,37 +272,37 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
                 own = word_ids(t.hashes, model.words, model.ids)
                 features = history(own, t.bounds)
                 for low in range(0, len(own), p.batch):
-                    where, node, branch = model.paths.of(own[low : low + p.batch])
+                    where, node, branch = paths(model, own[low : low + p.batch])
                     seen = features[low : low + p.batch][where]
                     learner.step(rows_of(seen, node, len(model.table)), np.take(model.prior, node, axis=0), branch)
         for i in range(blocks if learner else 0):
             own = slice(i * size, (i + 1) * size)
-            weight = learner.past[own, None] - np.float32(LITTLE)
-            part = np.hstack([weight, learner.table[own] * weight]).tobytes()
+            part = learner.table[own].copy()
+            part[:, BRANCHES] = np.sqrt(part[:, BRANCHES] - np.float32(LITTLE))  # within the range of half precision
+            part = part.astype(np.float16).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["block", "data"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                own = np.frombuffer(data.as_buffer(), np.float32).reshape(size, -1)
-                if block in total:
-                    total[block] += own
-                else:
-                    total[block] = own.astype(np.float64)
+                own = np.frombuffer(data.as_buffer(), np.float16).reshape(size, LANES).astype(np.float64)
+                own[:, BRANCHES:] **= 2
+                own[:, :BRANCHES] *= own[:, BRANCHES:]
+                total[block] = total[block] + own if block in total else own
         for block, x in total.items():
-            x[:, 1:] /= np.where(x[:, :1] > 0, x[:, :1], 1)
+            x[:, :BRANCHES] /= np.where(x[:, BRANCHES:] > 0, x[:, BRANCHES:], 1)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
-    learnt = documents.select("text").coalesce(sc.defaultParallelism).mapInArrow(learn, schema)
+    learnt = documents.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
     found = learnt.repartitionById(blocks, "block").mapInArrow(mean, schema).toArrow()
     shared.unpersist()
     table = model.table.copy()
     for block, data in zip(found["block"].to_pylist(), found["data"], strict=True):
         own = np.frombuffer(data.as_buffer(), np.float32).reshape(size, -1)
-        met = own[:, 0] > 0  # other rows stay as they are
-        table[block * size : (block + 1) * size][met] = own[met, 1:]
+        met = own[:, BRANCHES] > 0  # other rows stay as they are
+        table[block * size : (block + 1) * size][met] = own[met]
     return replace(model, table=table)
 
 
