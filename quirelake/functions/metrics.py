@@ -55,14 +55,26 @@ def length_delta(reference: Column, candidate: Column) -> Column:
 
 
 def insertion_rate(source: Column, candidate: Column) -> Column:
-    """Share of the candidate's tokens that the source doesn't have as often, within a row."""
-    a, b = F.array_sort(text.tokens(source)), text.tokens(candidate)
-    surplus = F.aggregate(
-        F.array_distinct(b),
-        F.lit(0),
-        lambda s, x: s + F.greatest(F.lit(0), F.size(F.filter(b, lambda y: y == x)) - F.size(F.filter(a, lambda y: y == x))),
-    )
-    return F.when(F.size(b) == 0, F.lit(0.0)).otherwise(surplus / F.size(b))
+    """Share of the candidate's tokens that the source doesn't have as often, within a row.
+
+    Tokens of both are sorted as one array, those of the source first among
+    equals, and folded once.
+    """
+    marked = lambda c, k: F.transform(text.tokens(c), lambda x: F.struct(x.alias("t"), F.lit(k).alias("k")))
+    both = F.array_sort(F.concat(marked(source, 0), marked(candidate, 1)))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("surplus"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["t"] == x["t"], s["left"]).otherwise(F.lit(0))
+        theirs = x["k"] == 0
+        return F.struct(
+            x["t"].alias("t"),
+            F.when(theirs, left + 1).otherwise(F.greatest(F.lit(0), left - 1)).alias("left"),
+            (s["surplus"] + F.when(theirs | (left > 0), F.lit(0)).otherwise(F.lit(1))).alias("surplus"),
+            (s["n"] + x["k"]).alias("n"),
+        )
+
+    return F.aggregate(both, start, step, lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["surplus"] / s["n"]))
 
 
 def insertion_rates(pairs: DataFrame, key: str, source: str, candidate: str) -> DataFrame:
@@ -73,17 +85,26 @@ def insertion_rates(pairs: DataFrame, key: str, source: str, candidate: str) ->
     return pairs.select(key).join(rates, key, "left").select(key, F.coalesce("rate", F.lit(0.0)).alias("insertion_rate"))
 
 
-def repetition_ratio(c: Column) -> Column:
-    """Share of the most frequent token, within a row; 0 below 20 tokens."""
-    own = F.array_sort(text.tokens(c))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+def repetition(c: Column) -> Column:
+    """n_tokens and ratio: the share of the most frequent token, within a row; 0 below 20 tokens.
+
+    Tokens are sorted, then one pass over each token and the one that begins its run.
+    """
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"), F.lit(0).cast("long").alias("n"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["top"], run).alias("top"))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["top"], run).alias("top"), (s["n"] + 1).alias("n"))
+
+    def shown(s: Column) -> Column:
+        ratio = F.when(s["n"] < LEAST_TOKENS, F.lit(0.0)).otherwise(s["top"] / s["n"])
+        return F.struct(s["n"].alias("n_tokens"), ratio.alias("ratio"))
 
-    top = F.aggregate(own, start, step, lambda s: s["top"])
-    return F.when(F.size(own) < LEAST_TOKENS, F.lit(0.0)).otherwise(top / F.size(own))
+    return F.aggregate(F.array_sort(text.tokens(c)), start, step, shown)
+
+
+def repetition_ratio(c: Column) -> Column:
+    return repetition(c)["ratio"]
 
 
 def repetition_ratios(documents: DataFrame, key: str, column: str) -> DataFrame:
@@ -141,10 +162,16 @@ def agreement(a: Column, b: Column) -> Column:
 
 
 def verdict(source: Column, candidate: Column, limits: Fidelity = Fidelity(), markup: bool = True) -> Column:
-    """ok, the three measures, and the reasons in order; candidates may be markup."""
-    plain = text.markup_text(candidate) if markup else candidate
+    """ok, the three measures, and the reasons in order; candidates may be markup.
+
+    A null candidate, from which no markup could be made, is held: cer 1, insertion 0, length_delta 1.
+    """
+    plain = text.markup_text_all(candidate) if markup else candidate
+    gone = candidate.isNull()
+    worst = {"cer": 1.0, "insertion": 0.0, "length_delta": 1.0}
     own = {"cer": cer(source, plain), "insertion": insertion_rate(source, plain), "length_delta": length_delta(source, plain)}
-    reasons = F.array_compact(F.array(*(F.when(c > getattr(limits, n), F.lit(n)) for n, c in own.items())))
+    own = {n: F.when(gone, F.lit(worst[n])).otherwise(c) for n, c in own.items()}
+    reasons = F.array_compact(F.array(F.when(gone, F.lit("no markup")), *(F.when(~gone & (c > getattr(limits, n)), F.lit(n)) for n, c in own.items())))
     return F.struct((F.size(reasons) == 0).alias("ok"), *(c.alias(n) for n, c in own.items()), reasons.alias("reasons"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -10,15 +11,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quirelake.functions.unicode import ALNUM, DIGITS, NL, STOPS, WORD, WS
+from quirelake.functions.unicode import ALNUM, BLANK, BLANKS, BREAKS, CUTS, DIGITS, NL, STOPS, WORD, WS
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Noncharacters, which no text holds.
+_STOP, _GAP = "\ufdd0", "\ufdd1"
 MEDIA = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp"}
 
 
 def strip(c: Column) -> Column:
     """Without the blanks at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def norm_ws(c: Column) -> Column:
@@ -48,11 +51,17 @@ def unix_lines(c: Column) -> Column:
 
 
 def rejoin_paragraphs(c: Column) -> Column:
-    """Lines run on by a space unless the text before ends a sentence; paragraphs are kept apart by one blank line."""
-    stops = "".join("\\" + x if x in ".!?)]" else x for x in STOPS)
-    lines = F.regexp_replace(unix_lines(c), f"(?m)^[^\\S\\n]*(?:(?!\\n){WS})*|(?:(?!\\n){WS})+$", "")
-    parts = F.regexp_replace(F.regexp_replace(lines, "\\n{2,}", "\n\n"), "\\A\\n+|\\n+\\z", "")
-    return F.regexp_replace(parts, f"(?<![{stops}\\n])\\n(?!\\n)", " ")
+    """Lines run on by a space unless the text before ends a sentence; paragraphs are kept apart by one blank line.
+
+    Lines are cut once and trimmed; a blank line only counts between two others,
+    so every line that follows one goes after a blank line of its own.
+    """
+    trimmed = F.transform(F.split(unix_lines(c), "\n"), strip)
+    # a line that ends a sentence is marked before lines are joined; the marks tell which breaks stay
+    marked = F.transform(trimmed, lambda x: F.when(F.right(x, F.lit(1)).isin(*STOPS), F.concat(x, F.lit(_STOP))).otherwise(x))
+    joined = F.btrim(F.regexp_replace(F.array_join(marked, "\n"), "\n{2,}", _GAP), F.lit("\n" + _GAP))
+    shown = F.replace(F.replace(F.replace(F.replace(joined, F.lit(_STOP + "\n"), F.lit(_STOP)), F.lit("\n"), F.lit(" ")), F.lit(_STOP + _GAP), F.lit(_GAP)), F.lit(_GAP), F.lit("\n\n"))
+    return F.replace(F.regexp_replace(shown, _STOP + "\\z", ""), F.lit(_STOP), F.lit("\n"))
 
 
 def clean_page(c: Column) -> Column:
@@ -68,12 +77,25 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(unix_lines(c), "\n"), strip), lambda x: x != "")
 
 
+_SOLID = f"[^{BLANK}]"
+#: From a solid character to the last one of its line.
+_RUN = f"{_SOLID}(?:[^{BREAKS}]*{_SOLID})?"
+
+
 def first_line(c: Column) -> Column:
-    return F.try_element_at(lines(c), F.lit(1))
+    """The first line that isn't blank, stripped; null if there is none."""
+    return F.nullif(F.regexp_extract(c, _RUN, 0), F.lit(""))
 
 
 def last_line(c: Column) -> Column:
-    return F.try_element_at(lines(c), F.lit(-1))
+    """The last line that isn't blank, stripped; null if there is none."""
+    own = F.substring_index(F.translate(strip(c), CUTS, "\n" * len(CUTS)), "\n", -1)
+    return F.nullif(strip(own), F.lit(""))
+
+
+def plain_text(markup: str) -> str:
+    """Like :func:`without_inline_tags`, of one text in Python."""
+    return re.sub(r"</?[a-zA-Z][^>]*>", "", markup).strip()
 
 
 def without_inline_tags(c: Column) -> Column:
@@ -123,9 +145,30 @@ def cache_key(content: Column, params: Mapping[str, object], model: str, version
     return content_hash(F.concat(content.cast("binary"), rest))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The whole number next to |c| * 10 ** digits, ties of the binary value to even.
+
+    c is split in two halves whose products are exact, so what the product loses
+    by rounding is known and decides where it seems to lie on a tie.
+    """
+    v, ten = F.abs(c), F.lit(float(10**digits))
+    split = v * F.lit(134217729.0)
+    high = split - (split - v)
+    a, b = high * ten, (v - high) * ten
+    whole = a + b
+    lost = b - (whole - a)
+    down = F.floor(whole)
+    rest = whole - down
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (down % 2 == 1))))
+    return down + F.when(up, F.lit(1)).otherwise(F.lit(0))
+
+
 def format_score(c: Column) -> Column:
-    """Two decimals, ties to even, or n/a."""
-    return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string("%.2f", F.bround(c, 2)))
+    """Two decimals as the binary value rounds, ties to even, or n/a; for values under 10 ** 13."""
+    n = rounded(c.cast("double"), 2)
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    shown = F.concat(sign, F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(c.isNull(), F.lit("n/a")).when(F.isnan(c), F.lit("nan")).otherwise(shown)
 
 
 def base_name(path: Column) -> Column:

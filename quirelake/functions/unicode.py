@@ -11,3 +11,7 @@ WORD = r"[\p{L}\p{N}_]"
 DIGITS = r"\p{Nd}+"
 #: After one of these a line break ends a sentence and stays.
 STOPS = ".!?\"'’”)]"
+#: The characters of BLANK, and those at which a line ends, one by one and as members of a class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CUTS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+BREAKS = r"\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}"

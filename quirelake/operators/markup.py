@@ -6,7 +6,6 @@ import posixpath
 import re
 from html import escape
 from html.parser import HTMLParser
-from urllib.parse import unquote, urldefrag
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -24,8 +23,8 @@ def local_name(tag: str) -> str:
 
 
 def resolved(base: str, href: str) -> str:
-    """Path of a reference from the file that holds it, normalised, without fragment."""
-    return posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(urldefrag(href)[0])))
+    """Path of a reference from the file that holds it, normalised; escapes and fragments stay as they are."""
+    return posixpath.normpath(posixpath.join(posixpath.dirname(base), href))
 
 
 class _Page(HTMLParser):
@@ -131,16 +130,12 @@ class _Repair(HTMLParser):
 
 
 def repaired(fragment: str | None) -> str | None:
-    """Well-formed markup of a fragment without its code fence; None if nothing is left."""
-    own = re.sub(r"\A\s*```\w*\s*\n?|\n?```\s*\Z", "", fragment or "").strip()
-    if not own:
-        return None
+    """Well-formed markup of a fragment; None if nothing is left."""
     p = _Repair()
-    p.feed(own)
+    p.feed(fragment or "")
     p.close()
     p.out += [f"</{x}>" for x in reversed(p.stack)]
-    made = "".join(p.out).strip()
-    return made if re.sub(r"<[^>]*>", "", made).strip() or "<img" in made else None
+    return "".join(p.out).strip() or None
 
 
 def _mapped(kind: str, arrow: pa.DataType, f) -> object:
@@ -178,10 +173,15 @@ def resolve_href(base: Column, href: Column) -> Column:
 
 
 def pdf_html(blocks: Column) -> Column:
-    """Paragraphs of a PDF page's blocks (x0, y0, kind, text): text blocks from top to bottom, then left to right, to a tenth."""
+    """Paragraphs of a PDF page's blocks (x0, y0, kind, text): text blocks from top to bottom, then left to right, to a tenth.
+
+    Tenths are those of the binary value, ties to even. An empty paragraph if there is no text.
+    """
     from quirelake.functions import text
 
+    tenth = lambda x: F.signum(x) * text.rounded(x, 1)
     own = F.filter(blocks, lambda b: b["kind"] == 0)
-    placed = F.array_sort(F.transform(own, lambda b, i: F.struct(F.round(b["y0"], 1).alias("y"), F.round(b["x0"], 1).alias("x"), i.alias("i"), text.norm_ws(b["text"]).alias("t"))))
+    placed = F.array_sort(F.transform(own, lambda b, i: F.struct(tenth(b["y0"]).alias("y"), tenth(b["x0"]).alias("x"), i.alias("i"), text.norm_ws(b["text"]).alias("t"))))
     shown = F.filter(placed, lambda b: b["t"] != "")
-    return F.array_join(F.transform(shown, lambda b: F.concat(F.lit("<p>"), text.escape(b["t"]), F.lit("</p>"))), "\n")
+    made = F.array_join(F.transform(shown, lambda b: F.concat(F.lit("<p>"), text.escape(b["t"]), F.lit("</p>"))), "\n")
+    return F.when(made == "", F.lit("<p></p>")).otherwise(made)

@@ -93,3 +93,13 @@ def sub_stride(sample: DataFrame, n: int, by: str = "book", order: str = "index"
 def first_of_name(pages: DataFrame, name: str, order: str = "index") -> DataFrame:
     """Of rows with one name, the first."""
     return pages.withColumn("_nth", F.row_number().over(Window.partitionBy(name).orderBy(order))).where("_nth = 1").drop("_nth")
+
+
+def report_table(rows: list[dict]) -> str:
+    """Engines (engine, n, cer, wer, insertion_rate, best or error) as lines of fixed width, on the driver."""
+    shown = lambda x: " n/a " if x is None else f"{x:.3f}"
+    out = [f"{'engine':11s} |  n | {'CER':5s} | {'WER':5s} | insert | note", "-+-".join("-" * n for n in (11, 2, 5, 5, 6, 4))]
+    for r in rows:
+        note = r.get("error") or ("best" if r.get("best") else "")
+        out.append(f"{r['engine']:11s} | {r.get('n', 0):>2} | {shown(r.get('cer'))} | {shown(r.get('wer'))} | {shown(r.get('insertion_rate')):6s} | {note}")
+    return "\n".join(out)

@@ -86,7 +86,7 @@ def islands(lines: DataFrame, page: list[str], line: str) -> DataFrame:
     numbered = own.withColumn("_new", new).withColumn("block_no", F.sum("_new").over(order))
     kept = numbered.where(~F.col("label").isin(*DROPPED))
     parts = F.array_sort(F.collect_list(F.struct(F.col(line).alias("at"), F.col("text").alias("text"))))
-    joined = F.array_join(F.transform(parts, lambda x: text.strip(x["text"])), " ")
+    joined = F.array_join(F.transform(parts, lambda x: x["text"]), " ")
     merged = kept.groupBy(*page, "block_no", "label").agg(text.without_inline_tags(joined).alias("text"))
     return merged.where("text <> ''")
 
@@ -98,12 +98,42 @@ def build_blocks(lines: DataFrame, page: list[str], line: str) -> DataFrame:
     return own.groupBy(*page).agg(F.transform(ordered, lambda x: x["block"]).alias("blocks"))
 
 
+def line_blocks(lines: Column, regions: Column) -> Column:
+    """The blocks of one page within a row, from its lines (text, box) in reading order and its regions (box, label).
+
+    As :func:`islands` and :func:`build_blocks` make them of tables of lines.
+    """
+    nothing = F.lit(None).cast("string")
+    empty = F.array().cast(BLOCK)
+    start = F.struct(empty.alias("made"), nothing.alias("label"), F.lit("").alias("run"))
+
+    def ended(s: Column) -> Column:
+        own = text.without_inline_tags(s["run"])
+        return F.when(s["label"].isNull() | (own == ""), s["made"]).otherwise(F.concat(s["made"], F.array(block(s["label"], own)).cast(BLOCK)))
+
+    def step(s: Column, x: Column) -> Column:
+        found = label_of(x["box"], regions)
+        label = F.when(found.isin(*FIGURES), F.lit(DEFAULT)).otherwise(found)
+        blank, same, dropped = text.strip(F.coalesce(x["text"], F.lit(""))) == "", s["label"].eqNullSafe(label), label.isin(*DROPPED)
+        made = F.when(blank | same, s["made"]).otherwise(ended(s))
+        run = F.when(blank, s["run"]).when(same, F.concat(s["run"], F.lit(" "), x["text"])).when(dropped, F.lit("")).otherwise(x["text"])
+        return F.struct(made.alias("made"), F.when(blank, s["label"]).when(dropped, nothing).otherwise(label).alias("label"), run.alias("run"))
+
+    return F.aggregate(F.coalesce(lines, F.array().cast("array<struct<text:string,box:array<double>>>")), start, step, ended)
+
+
 def served_blocks(items: Column) -> Column:
-    """Blocks of a served engine's items (label, text, html, reading_order, skipped), in reading order; tables keep their markup."""
+    """Blocks of a served engine's items (label, html, reading_order, skipped), in reading order.
+
+    The text is that of the markup without tags; tables keep their markup, text
+    in what is taken for a picture is prose, blocks without text are left out.
+    """
     indexed = F.transform(items, lambda x, i: F.struct(F.coalesce(x["reading_order"], F.lit(0)).alias("order"), i.alias("at"), x.alias("item")))
     ordered = F.transform(F.array_sort(indexed), lambda x: x["item"])
-    kept = F.filter(ordered, lambda x: ~x["label"].isin(*DROPPED, *FIGURES) & ~F.coalesce(x["skipped"], F.lit(False)))
-    made = F.transform(kept, lambda x: block(x["label"], text.without_inline_tags(F.coalesce(x["text"], F.lit(""))), F.when(x["label"] == "Table", x["html"])))
+    label = lambda x: F.coalesce(F.when(x["label"].isin("", *FIGURES), F.lit(DEFAULT)).otherwise(x["label"]), F.lit(DEFAULT))
+    kept = F.filter(ordered, lambda x: ~label(x).isin(*DROPPED) & ~F.coalesce(x["skipped"], F.lit(False)))
+    html = lambda x: F.coalesce(x["html"], F.lit(""))
+    made = F.transform(kept, lambda x: block(label(x), text.without_inline_tags(html(x)), F.when((label(x) == "Table") & (html(x) != ""), x["html"])))
     return F.filter(made, lambda x: (x["text"] != "") | x["html"].isNotNull())
 
 
@@ -115,30 +145,33 @@ def paragraphs_to_xhtml(c: Column) -> Column:
 
 
 def blocks_to_xhtml(blocks: Column) -> Column:
-    """Markup of a page's blocks; consecutive list items share a list, figures are left out."""
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("open"))
+    """Markup of a page's blocks, an element a line; consecutive list items share a list, figures are left out."""
+    nothing = F.lit("")
+    start = F.struct(nothing.alias("out"), F.lit(False).alias("open"))
 
     def tagged(x: Column) -> Column:
         own, wrap = text.escape(x["text"]), lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
         level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(x["level"], F.lit(2)))).cast("string")
-        table = F.when(F.coalesce(x["html"], F.lit("")) != "", x["html"]).otherwise(wrap('<div class="table">', own, "</div>"))
+        table = F.when(F.coalesce(x["html"], nothing) != "", x["html"]).otherwise(wrap('<div class="ocr-table"><p>', own, "</p></div>"))
         return (
             F.when(x["type"] == "heading", F.concat(F.lit("<h"), level, F.lit(">"), own, F.lit("</h"), level, F.lit(">")))
             .when(x["type"] == "list", wrap("<li>", own, "</li>"))
-            .when(x["type"] == "footnote", wrap('<aside class="footnote">', own, "</aside>"))
+            .when(x["type"] == "footnote", wrap('<aside epub:type="footnote"><p>', own, "</p></aside>"))
             .when(x["type"] == "code", wrap("<pre>", own, "</pre>"))
             .when(x["type"] == "table", table)
-            .when(x["type"] == "figure", F.lit(""))
             .otherwise(wrap("<p>", own, "</p>"))
         )
 
     def step(s: Column, x: Column) -> Column:
-        item = x["type"] == "list"
-        edge = F.when(item & ~s["open"], F.lit("<ul>")).when(~item & s["open"], F.lit("</ul>")).otherwise(F.lit(""))
-        return F.struct(F.concat(s["out"], edge, tagged(x)).alias("out"), item.alias("open"))
-
-    out = F.aggregate(blocks, start, step, lambda s: F.concat(s["out"], F.when(s["open"], F.lit("</ul>")).otherwise(F.lit(""))))
-    return F.when(F.coalesce(out, F.lit("")) == "", F.lit("<p></p>")).otherwise(out)
+        item, figure = x["type"] == "list", x["type"] == "figure"
+        close = F.when(~item & s["open"], F.lit("</ul>")).otherwise(nothing)
+        line = F.when((s["out"] == "") | (item & s["open"]), nothing).otherwise(F.lit("\n"))
+        begin = F.when(item & ~s["open"], F.lit("<ul>")).otherwise(nothing)
+        added = F.when(figure, nothing).otherwise(F.concat(line, begin, tagged(x)))
+        return F.struct(F.concat(s["out"], close, added).alias("out"), item.alias("open"))
+
+    out = F.aggregate(blocks, start, step, lambda s: F.concat(s["out"], F.when(s["open"], F.lit("</ul>")).otherwise(nothing)))
+    return F.when(F.coalesce(out, nothing) == "", F.lit("<p></p>")).otherwise(out)
 
 
 def cleaned_body(blocks: Column, page_text: Column) -> Column:

@@ -32,6 +32,8 @@ class Config:
     roles: dict[str, str] = field(default_factory=dict)
     models: dict[str, dict[str, str]] = field(default_factory=dict)
     fidelity: Fidelity = Fidelity()
+    ocr: dict[str, object] = field(default_factory=dict)
+    preprocess: dict[str, object] = field(default_factory=dict)
 
     def endpoint(self, name: str) -> Endpoint:
         if name not in self.endpoints:
@@ -75,6 +77,8 @@ def load(path: str | None = None, folder: str = ".") -> Config:
         dict(raw.get("roles", {})),
         {n: dict(e.get("models", {})) for n, e in raw.get("endpoints", {}).items()},
         Fidelity(**raw.get("fidelity", {})),
+        dict(raw.get("ocr", {})),
+        dict(raw.get("preprocess", {})),
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import text
 from quirelake.operators import markup, routing
 
-DOCUMENTS = "book string, spine_pos int, idref string, href string, text_len int, images array<string>, page_html string, error string"
+DOCUMENTS = "book string, spine_pos int, idref string, href string, text_len int, images array<string>, present array<boolean>, page_html string, error string"
 CONTAINER = "META-INF/container.xml"
 
 
@@ -51,7 +51,7 @@ def package(archive: zipfile.ZipFile, path: str) -> tuple[dict[str, dict], list[
 
 
 def spine_rows(content: bytes) -> Iterator[tuple]:
-    """(spine_pos, idref, href, text_len, images, page_html) of the documents that can be read; images that the archive lacks are left out."""
+    """(spine_pos, idref, href, text_len, images, present, page_html) of the documents that can be read; present tells which images the archive holds."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
         items, spine, _ = package(archive, package_path(archive))
@@ -61,8 +61,8 @@ def spine_rows(content: bytes) -> Iterator[tuple]:
                 continue
             page = archive.read(href).decode("utf-8", "replace")
             found = markup.read(page)
-            images = [x for x in (markup.resolved(href, i) for i in found.images) if x in names]
-            yield pos, idref, href, len(" ".join("".join(found.texts).split())), images, page
+            images = [markup.resolved(href, x) for x in found.images]
+            yield pos, idref, href, len(" ".join("".join(found.texts).split())), images, [x in names for x in images], page
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +71,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, schema: str, kinds: list[pa.DataType], f) -> DataFrame:
-    names = [x.strip().split(" ")[0] for x in schema.replace("array<string>", "a").split(",")]
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,10 +90,10 @@ def documents(epubs: DataFrame) -> DataFrame:
         try:
             yield from [(book, *r, None) for r in spine_rows(content)]
         except (zipfile.BadZipFile, ValueError, KeyError, ElementTree.ParseError) as e:
-            yield book, None, None, None, 0, [], None, f"{type(e).__name__}: {e}"
+            yield book, None, None, None, 0, [], [], None, f"{type(e).__name__}: {e}"
 
     s = pa.string()
-    return _rows(epubs, DOCUMENTS, [s, pa.int32(), s, s, pa.int32(), pa.list_(s), s, s], rows)
+    return _rows(epubs, DOCUMENTS, [s, pa.int32(), s, s, pa.int32(), pa.list_(s), pa.list_(pa.bool_()), s, s], rows)
 
 
 def covers(epubs: DataFrame) -> DataFrame:
@@ -127,8 +127,13 @@ def images(epubs: DataFrame) -> DataFrame:
     return _rows(epubs, "book string, image string, content binary", [pa.string(), pa.string(), pa.binary()], rows)
 
 
+def manifest(documents: DataFrame, covers: DataFrame) -> DataFrame:
+    """The page manifest of spine documents, with the preserved body (text_html) of those that are kept as text."""
+    pages = routing.classify(documents.where("error IS NULL"), covers)
+    return pages.withColumn("text_html", markup.preserved_body(F.col("page_html"))).drop("page_html")
+
+
 def ingest(spark: SparkSession, path: str) -> DataFrame:
     """The page manifest of all books at a path."""
     epubs = files(spark, path)
-    own = documents(epubs).where("error IS NULL")
-    return routing.classify(own, covers(epubs))
+    return manifest(documents(epubs), covers(epubs))

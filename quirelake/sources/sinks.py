@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
+import os
+import shutil
+import subprocess
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 from pathlib import Path
 
@@ -12,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions import text
+from quirelake.functions import metrics, text
 
 _OPF = """<?xml version="1.0" encoding="utf-8"?>
 <package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{id}</dc:identifier><dc:title>{title}</dc:title><dc:language>{lang}</dc:language></metadata><manifest>{items}</manifest><spine toc="ncx">{spine}</spine></package>"""
@@ -22,18 +27,32 @@ _CONTAINER = """<?xml version="1.0"?>
 <container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>"""
 
 
+def screened(ocr: DataFrame) -> DataFrame:
+    """Recognised pages with their repetition (three decimals), whether they are degenerate, and no text if they are."""
+    ratio = metrics.repetition_ratio(F.coalesce("text", F.lit("")))
+    own = ocr.withColumn("_ratio", ratio)
+    out = own.withColumn("degenerate", metrics.is_degenerate(F.col("_ratio"))).withColumn("text", metrics.gated(F.col("text"), F.col("_ratio")))
+    return out.withColumn("repetition_ratio", text.rounded(F.col("_ratio"), 3) / F.lit(1000.0)).drop("_ratio")
+
+
 def write_ocr(ocr: DataFrame, path: str) -> None:
     """Recognised pages, a folder a book."""
     ocr.write.mode("overwrite").partitionBy("book").parquet(path)
 
 
+def write_json(value: object, path: str) -> None:
+    """One value as indented JSON, characters beyond ASCII as they are; for small results on the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False), encoding="utf-8")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def epub(book: str, title: str, nav: str, pages: list[tuple[str, str, str]], images: dict[str, bytes], lang: str = "en") -> bytes:
+def epub(book: str, title: str, nav: str, pages: list[tuple[str, str, str]], images: dict[str, bytes], lang: str = "en", identifier: str | None = None) -> bytes:
     """A book as EPUB 3: pages are (file, title, xhtml) in order."""
-    out, ident = io.BytesIO(), f"urn:quirelake:{book}"
+    out, ident = io.BytesIO(), identifier or f"urn:quirelake:{book}"
     kinds = {n: text.MEDIA.get(n.rsplit(".", 1)[-1].lower(), "image/png") for n in images}
     items = ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>']
     items += [f'<item id="p{i}" href="{escape(f)}" media-type="application/xhtml+xml"/>' for i, (f, _, _) in enumerate(pages)]
@@ -57,15 +76,19 @@ def epub(book: str, title: str, nav: str, pages: list[tuple[str, str, str]], ima
     return out.getvalue()
 
 
-def epubs(docs: DataFrame, navs: DataFrame, images: DataFrame | None = None, lang: str = "en") -> DataFrame:
+def epubs(docs: DataFrame, navs: DataFrame, images: DataFrame | None = None, lang: str = "en", titles: DataFrame | None = None, identifier: str | None = None) -> DataFrame:
     """book and content of every book, made where its pages are.
 
     docs: book, index, file, title, xhtml; navs: book, nav; images: book, name,
-    content, of which the first of a name counts. A book is built in one task.
+    content, of which the first of a name counts; titles: book, title, else a
+    book is called as its folder. A book is built in one task, which holds it.
     """
     base = docs.select("book", "index", F.lit(0).alias("kind"), F.col("file").alias("name"), "title", F.encode(F.col("xhtml"), "UTF-8").alias("data"))
     extra = navs.select("book", F.lit(0).alias("index"), F.lit(1).alias("kind"), F.lit("nav.xhtml").alias("name"), F.lit("").alias("title"), F.encode(F.col("nav"), "UTF-8").alias("data"))
     every = base.unionByName(extra)
+    if titles is not None:
+        named = titles.select("book", F.lit(0).alias("index"), F.lit(3).alias("kind"), F.lit("").alias("name"), "title", F.lit(None).cast("binary").alias("data"))
+        every = every.unionByName(named.join(docs.select("book").distinct(), "book", "left_semi"))
     if images is not None:
         every = every.unionByName(images.select("book", F.lit(0).alias("index"), F.lit(2).alias("kind"), "name", F.lit("").alias("title"), F.col("content").alias("data")))
 
@@ -78,7 +101,8 @@ def epubs(docs: DataFrame, navs: DataFrame, images: DataFrame | None = None, lan
             if r["kind"] == 2:
                 pictures.setdefault(r["name"], r["data"])
         book = rows[0]["book"]
-        return pa.table({"book": [book], "content": pa.array([epub(book, book, nav, pages, pictures, lang)], pa.binary())})
+        called = next((r["title"] for r in rows if r["kind"] == 3 and r["title"]), book)
+        return pa.table({"book": [book], "content": pa.array([epub(book, called, nav, pages, pictures, lang, identifier)], pa.binary())})
 
     return every.groupBy("book").applyInArrow(build, "book string, content binary")
 
@@ -92,3 +116,33 @@ def save(books: DataFrame, folder: str) -> None:
 
     Path(folder).mkdir(parents=True, exist_ok=True)
     books.foreachPartition(put)
+
+
+@dataclass(frozen=True)
+class Checked:
+    ok: bool
+    errors: tuple[str, ...] = ()
+    warnings: tuple[str, ...] = ()
+    note: str = ""
+
+
+def epubcheck(path: str, jar: str | None = None) -> Checked:
+    """What EPUBCheck says of a file, or what is missing to call it; jar, else $EPUBCHECK_JAR, is its archive."""
+    java, jar = shutil.which("java"), jar or os.environ.get("EPUBCHECK_JAR")
+    if java is None:
+        return Checked(False, note="EPUBCheck needs java")
+    if not jar or not Path(jar).exists():
+        return Checked(False, note="EPUBCheck's archive isn't there; name it by EPUBCHECK_JAR")
+    done = subprocess.run([java, "-jar", jar, "--json", "-", path], capture_output=True, text=True, check=False)
+    return judged(done.stdout, done.returncode, done.stderr)
+
+
+def judged(report: str, code: int = 0, complaint: str = "") -> Checked:
+    """A report's messages by severity; one that can't be read counts by the exit code."""
+    try:
+        said = json.loads(report).get("messages", [])
+    except ValueError:
+        return Checked(code == 0, note=complaint.strip()[:500])
+    of = lambda *kinds: tuple(m["message"] for m in said if m.get("severity") in kinds)
+    errors = of("ERROR", "FATAL")
+    return Checked(not errors, errors, of("WARNING"))
