@@ -8,21 +8,24 @@ hold a fresh edge meet. A round is a join of edges with vectors, a grouping by w
 and a merge by node; it ends when few lists change.
 
 Searching. A query keeps a beam of the nearest nodes seen and expands the best
-one whose edges (in both directions) it has not followed yet, until all of the
-beam is expanded. A query that is a row of the table starts at its own node.
+``expand`` whose edges (in both directions) it has not followed yet, until all
+of the beam is expanded. A query that is a row of the table starts at its own node.
 
 Plan: rounds send each vector as 8-bit codes to the nodes that gather it; the
-similarities of results are of the full vectors. If vectors and edges fit
-``broadcast_bytes`` the graph is broadcast for the search; a larger one is
-searched by rounds of joins of the beams with edges and vectors.
+similarities of results are of the full vectors. All that gather at a node meet,
+however many they are, in blocks of rows. A bucket of the first trees that is
+too large for a task is divided at random, in each tree anew. If vectors and
+edges fit ``broadcast_bytes`` the graph is broadcast for the search; a larger one
+is searched by rounds of joins of the beams with edges and vectors. Both take
+the same steps and give the same rows, but for rounding in the last place.
 
 Defined results. Null ids, null or empty vectors, vectors with a null or NaN and
 those whose length isn't the most frequent one (the least of equals) are left
-out, as queries and as neighbours. Of rows with one id the first in the order of
+out, as queries and as neighbours. Ids are integers, or strings that are: others are null. Of rows with one id the first in the order of
 their vectors counts. A zero vector has similarity 0 to all. Neighbours are
 ranked by similarity, then id; a vector is not its own neighbour, equal vectors
-of other ids are. Fewer than k others give as many. An empty table gives no
-rows. Columns other than id and vector are not read.
+of other ids are. Fewer than k others give as many, as do fewer that the graph
+connects with a row. An empty table gives no rows. Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ class Params:
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and unit vector of the rows that count."""
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
+    own = df.select(F.expr(f"try_cast(`{id_col}` AS BIGINT)").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
     own = own.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
     common = own.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     own = own.where(F.size("vec") == (common[0]["dims"] if common else 0))
@@ -87,8 +90,8 @@ def _split(column: pa.Array, dtype: type) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False), offsets[1:-1]) if len(column) else []
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 62) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by key; groups beyond ``most`` rows are cut."""
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by key."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not len(b):
@@ -102,9 +105,6 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 62) ->
             yield pa.Table.from_batches([*held, b.slice(0, last)])
             held = []
         held.append(b.slice(last))
-        if sum(map(len, held)) >= most:
-            yield pa.Table.from_batches(held)
-            held = []
     if held:
         yield pa.Table.from_batches(held)
 
@@ -137,7 +137,7 @@ def planted(p: Params, tree: int) -> Callable:
     """mapInArrow over (bucket, id, vec) sorted by bucket: nearest within the leaves of one tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, "bucket", 8 * p.bucket):
+        for t in grouped(batches, "bucket"):
             t = t.combine_chunks()
             every, x, key = t["id"].to_numpy(), _matrix(t["vec"].combine_chunks()), t["bucket"].to_numpy()
             random = np.random.default_rng([p.seed, tree, int(key[0]) & 0xFFFFFFFF])
@@ -188,26 +188,44 @@ def merged(p: Params) -> Callable:
     return run
 
 
+BLOCK = 512
+
+
+def _met(u: np.ndarray, fresh: np.ndarray, least: np.ndarray, x: np.ndarray, degree: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, other, similarity) of the best that each u meets at one node and that may enter its list, in blocks of rows.
+
+    Where no edge is fresh on either side, two have met before.
+    """
+    new = np.flatnonzero(fresh)
+    for low in range(0, len(u), BLOCK):
+        own = np.arange(low, min(low + BLOCK, len(u)))
+        for rows, others in ((own[fresh[own]], slice(None)), (own[~fresh[own]], new)):
+            if not len(rows) or not len(u[others]):
+                continue
+            score = x[rows] @ x[others].T
+            score[(score <= least[rows][:, None]) | (u[rows][:, None] == u[others][None, :])] = -9
+            if score.shape[1] > degree:
+                top = np.argpartition(-score, degree - 1, axis=1)[:, :degree]
+                score, other = np.take_along_axis(score, top, 1), u[others][top]
+            else:
+                other = np.broadcast_to(u[others], score.shape)
+            a, b = np.nonzero(score > -9)
+            yield u[rows[a]], other[a, b], score[a, b]
+
+
 def introduced(p: Params) -> Callable:
     """mapInArrow over (w, u, fresh, least, code) sorted by w: better neighbours for the u that meet at a w."""
-    most = 3 * p.degree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "w"):
             t = t.combine_chunks()
             w, u, fresh, least = (t[c].to_numpy() for c in ("w", "u", "fresh", "least"))
-            codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(len(w), -1)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8)
+            x = codes.reshape(len(w), -1).astype(np.float32) / 127
             cut = _cuts(w)
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                own = np.arange(i, j)
-                if len(own) > most:  # a node that very many list: fresh ones first, then by a hash
-                    own = own[np.lexsort(((u[own] * 0x9E3779B1) & 0xFFFFFFFF, ~fresh[own]))[:most]]
-                x = codes[own].astype(np.float32) / 127
-                score = x @ x.T
-                better = (score > least[own][:, None]) & (fresh[own][:, None] | fresh[own][None, :]) & (u[own][:, None] != u[own][None, :])
-                a, b = np.nonzero(better)
-                found.append((u[own[a]], u[own[b]], score[a, b]))
+            found = [part for i, j in zip(cut[:-1], cut[1:], strict=True) for part in _met(u[i:j], fresh[i:j], least[i:j], x[i:j], p.degree)]
+            if not found:
+                continue
             a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
             # one list for each u that met someone, without repeated pairs
             order = np.lexsort((-score, b, a))
@@ -229,6 +247,25 @@ def introduced(p: Params) -> Callable:
     return run
 
 
+def bucketed(known: DataFrame, p: Params, tree: int, bits: int, dims: int) -> DataFrame:
+    """bucket, id and vec: vectors by the sides of random planes that they lie on; large buckets are divided by a hash of the id."""
+    planes = np.random.default_rng([p.seed, tree, 0]).normal(size=(bits, dims)).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side = _matrix(b.column("vec")) @ planes.T > 0 if len(b) else np.zeros((0, bits), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(b), np.int64)), b.column("id"), b.column("vec")], ["bucket", "id", "vec"])
+
+    own = known.select("id", "vec").mapInArrow(run, "bucket long, id long, vec array<float>")
+    most = 8 * p.bucket
+    large = own.groupBy(F.col("bucket").alias("_bucket")).count().where(F.col("count") > most)
+    if large.isEmpty():
+        return own
+    part = F.pmod(F.xxhash64("id", F.lit(tree)), F.ceil(F.col("count") / p.bucket))
+    split = own.join(large, F.col("bucket") == F.col("_bucket"), "left")
+    return split.select(F.when(F.col("count").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", part)).alias("bucket"), "id", "vec")
+
+
 def _merge(lists: DataFrame, p: Params) -> DataFrame:
     return lists.repartition("id").sortWithinPartitions("id").mapInArrow(merged(p), ROW)
 
@@ -240,12 +277,7 @@ def graph(known: DataFrame, p: Params) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, n) / p.bucket))))
     lists = None
     for tree in range(p.trees):
-        planes = np.random.default_rng([p.seed, tree, 0]).normal(size=(bits, dims))
-        bucket = F.lit(0).cast("long")
-        for k, plane in enumerate(planes):
-            dot = F.aggregate(F.zip_with("vec", F.array(*(F.lit(float(x)) for x in plane)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            bucket = bucket + F.when(dot > 0, F.lit(1 << k)).otherwise(0)
-        one = known.select(bucket.alias("bucket"), "id", "vec").repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(planted(p, tree), UPDATE)
+        one = bucketed(known, p, tree, bits, dims).repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(planted(p, tree), UPDATE)
         lists = one if lists is None else lists.unionAll(one)
     now = durable.written(_merge(lists.withColumn("fresh", F.lit(None).cast("array<boolean>")), p), "graph")
     codes = F.transform("vec", lambda x: F.round(x * 127).cast("tinyint"))
@@ -281,37 +313,47 @@ def adjacency(g: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.collect_list("to").alias("to"))
 
 
-def beam_search(x: np.ndarray, bounds: np.ndarray, to: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beams (nodes, similarities) of queries, whose entries are rows of nodes to begin at."""
-    n, m = len(queries), int(np.diff(bounds).max(initial=1))
-    padded = np.append(to, np.full(m, -1))
-    row = np.arange(n)[:, None]
+def beam_search(x: np.ndarray, bounds: np.ndarray, to: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beams (nodes, similarities) of queries, whose entries are the nodes to begin at."""
+    n = len(queries)
     nodes = np.full((n, beam), -1)
     score = np.full((n, beam), -9.0, np.float32)
     done = np.ones((n, beam), bool)
-    seen = np.zeros((n, len(x) + 1), bool)
-
-    def add(some: np.ndarray, which: np.ndarray) -> None:
-        """Offer nodes (-1 for none), a row for each of the queries in which."""
-        at = which[:, None]
-        fresh = (some >= 0) & ~seen[at, some]
-        seen[at, some] = True
-        value = np.where(fresh, np.einsum("qd,qkd->qk", queries[which], x[some]), -9).astype(np.float32)
-        every = np.concatenate([score[which], value], axis=1)
-        ids = np.concatenate([nodes[which], np.where(fresh, some, -1)], axis=1)
-        mark = np.concatenate([done[which], ~fresh], axis=1)
+    seen = np.zeros((n, len(x)), bool)
+    nodes[:, 0], done[:, 0] = entry, False
+    score[:, 0] = np.einsum("qd,qd->q", queries, x[entry])
+    seen[np.arange(n), entry] = True
+    while not done.all():
+        # the best nodes of each beam that aren't expanded
+        open_score = np.where(done, -99, score)
+        k = min(expand, beam)
+        best = np.argpartition(-open_score, k - 1, axis=1)[:, :k]
+        q, at = np.nonzero(np.take_along_axis(~done, best, 1))
+        at = best[q, at]
+        done[q, at] = True
+        node = nodes[q, at]
+        # their neighbours that the query hasn't seen, each once
+        size = bounds[node + 1] - bounds[node]
+        edge = np.arange(size.sum()) + np.repeat(bounds[node] - (np.cumsum(size) - size), size)
+        q, v = np.repeat(q, size), to[edge]
+        new = ~seen[q, v]
+        key = np.unique(q[new] * len(x) + v[new])
+        q, v = key // len(x), key % len(x)
+        if not len(q):
+            continue
+        seen[q, v] = True
+        value = np.empty(len(q), np.float32)
+        for low in range(0, len(q), 16384):
+            some = slice(low, low + 16384)
+            value[some] = np.einsum("kd,kd->k", queries[q[some]], x[v[some]])
+        which, first, count = np.unique(q, return_index=True, return_counts=True)
+        row, place = np.repeat(np.arange(len(which)), count), np.arange(len(q)) - np.repeat(first, count)
+        offered, ids = np.full((len(which), count.max()), -9, np.float32), np.full((len(which), count.max()), -1)
+        offered[row, place], ids[row, place] = value, v
+        every, ids = np.concatenate([score[which], offered], axis=1), np.concatenate([nodes[which], ids], axis=1)
+        mark = np.concatenate([done[which], offered <= -9], axis=1)
         top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
         score[which], nodes[which], done[which] = (np.take_along_axis(y, top, 1) for y in (every, ids, mark))
-
-    add(entry, np.arange(n))
-    while not done.all():
-        which = np.flatnonzero(~done.all(axis=1))
-        best = np.where(done[which], -99, score[which]).argmax(axis=1)
-        done[which, best] = True
-        node = nodes[which, best]
-        width = int((bounds[node + 1] - bounds[node]).max())
-        at = bounds[node][:, None] + np.arange(width)
-        add(np.where(at < bounds[node + 1][:, None], padded[at], -1), which)
     return nodes, score
 
 
@@ -367,47 +409,63 @@ def _searched(known: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
             for low in range(0, len(ids), block):
                 own = ids[low : low + block]
                 at = np.searchsorted(every, own)
-                nodes, score = beam_search(x, bounds, to, x[at], at[:, None], beam)
+                nodes, score = beam_search(x, bounds, to, x[at], at, beam, p.expand)
                 yield _answer(every, own, list(nodes), list(score), p.k)
 
     parts = max(1, known.sparkSession.sparkContext.defaultParallelism * 4)
     return known.select("id").repartition(parts, "id").mapInArrow(run, RESULT)
 
 
+STATE = "q long, vec array<float>, nodes array<long>, score array<float>, done array<boolean>, now array<long>"
+
+
 def advanced(p: Params, beam: int) -> Callable:
-    """cogroup of a query's state with the vectors that it is offered: its next state."""
-
-    def run(state: pa.Table, offered: pa.Table) -> pa.Table:
-        if not len(state):
-            return state
-        s = state.to_pylist()[0]
-        nodes, score, done = np.array(s["nodes"], np.int64), np.array(s["score"], np.float32), np.array(s["done"], bool)
-        if len(offered):
-            ids, first = np.unique(offered["v"].to_numpy(), return_index=True)
-            first = first[~np.isin(ids, nodes)]
-            value = _matrix(offered["offer"].combine_chunks())[first] @ np.array(s["vec"], np.float32)
-            nodes, score, done = np.append(nodes, offered["v"].to_numpy()[first]), np.append(score, value), np.append(done, np.zeros(len(first), bool))
-        top = _best(nodes, score, beam)
-        nodes, score, done = nodes[top], score[top], done[top]
-        now = np.flatnonzero(~done)[: p.expand]
-        done[now] = True
-        return pa.Table.from_pylist([s | {"nodes": nodes.tolist(), "score": score.tolist(), "done": done.tolist(), "now": nodes[now].tolist()}], state.schema)
+    """mapInArrow over the beams of queries and the vectors that they are offered (null in beams), sorted by q with beams first: the next beams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "q"):
+            t = t.combine_chunks()
+            q, v = t["q"].to_numpy(), t["v"].fill_null(-1).to_numpy()
+            state = np.flatnonzero(t["v"].is_null().to_numpy())
+            own = t.take(pa.array(state))
+            vec, nodes, score, done = (_split(own[c].combine_chunks(), k) for c, k in (("vec", np.float32), ("nodes", np.int64), ("score", np.float32), ("done", bool)))
+            offers = np.zeros((len(t), 1), np.float32)
+            if len(state) < len(t):
+                rows = np.flatnonzero(t["v"].is_valid().to_numpy())
+                offers = np.zeros((len(t), len(vec[0])), np.float32)
+                offers[rows] = _matrix(t["offer"].combine_chunks().take(pa.array(rows)))
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for k, (low, high) in enumerate(zip(state, np.append(state[1:], len(q)), strict=True)):
+                mine, value, over = nodes[k], score[k], done[k]
+                if high > low + 1:
+                    ids, first = np.unique(v[low + 1 : high], return_index=True)
+                    first = first[~np.isin(ids, mine)]
+                    said = np.einsum("kd,d->k", offers[low + 1 + first], vec[k])
+                    mine, value, over = np.append(mine, v[low + 1 + first]), np.append(value, said), np.append(over, np.zeros(len(first), bool))
+                top = _best(mine, value, beam)
+                mine, value, over = mine[top], value[top], over[top]
+                now = np.flatnonzero(~over)[: p.expand]
+                over[now] = True
+                for x, y in zip(out, (mine, value, over, mine[now]), strict=True):
+                    x.append(y)
+            kinds = (pa.int64(), pa.float32(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(q[state]), own["vec"].combine_chunks(), *(_lists(x, k) for x, k in zip(out, kinds, strict=True))], ["q", "vec", "nodes", "score", "done", "now"])
 
     return run
 
 
 def _joined(known: DataFrame, edges: DataFrame, p: Params, beam: int) -> DataFrame:
     """Search by joins: every round, each query expands the best nodes of its beam."""
-    schema = "q long, vec array<float>, nodes array<long>, score array<float>, done array<boolean>, now array<long>"
     state = known.select(
         F.col("id").alias("q"), "vec", F.array("id").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("score"), F.array(F.lit(True)).alias("done"), F.array("id").alias("now")
     )
     target = known.select(F.col("id").alias("v"), "vec")
     state = durable.written(state, "beams")
     while not state.where(F.size("now") > 0).isEmpty():
-        ask = state.select("q", F.explode("now").alias("id"), "nodes").join(edges, "id").select(F.col("q").alias("asker"), F.explode(F.array_except("to", "nodes")).alias("v")).distinct()
-        offered = ask.join(target, "v").select("asker", "v", F.col("vec").alias("offer"))
-        following = durable.written(state.groupBy("q").cogroup(offered.groupBy("asker")).applyInArrow(advanced(p, beam), schema), "beams")
+        ask = state.select("q", F.explode("now").alias("id"), "nodes").join(edges, "id").select("q", F.explode(F.array_except("to", "nodes")).alias("v")).distinct()
+        offered = ask.join(target, "v").select("q", "v", F.col("vec").alias("offer"))
+        every = state.unionByName(offered, allowMissingColumns=True)
+        following = durable.written(every.repartition("q").sortWithinPartitions("q", F.col("v").asc_nulls_first()).mapInArrow(advanced(p, beam), STATE), "beams")
         durable.discard(state)
         state = following
 
