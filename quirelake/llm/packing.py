@@ -19,8 +19,8 @@ before it left, without waiting for them. Documents are cut where a window ends.
 Plan: tokens are counted in one scan; everything after it moves (source,
 doc_id, tokens) only. Those rows are range-partitioned by (source, doc_id), so
 a hot source is spread over many tasks; totals by partition and source give the
-token at which each task begins. Sources are the only thing the driver counts;
-more than ``MAX_SOURCES`` of them are refused.
+token at which each task begins. Sources are the only thing the driver counts and
+broadcasts, some hundred bytes each, however many they are.
 
 Defined results. A null source is a queue of its own, before all others. Null
 and empty texts have no tokens and appear in no window. A null doc_id comes
@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 from quirelake.plans import durable
 
 WINDOW = 2048
-MAX_SOURCES = 1_000_000
 MAX_WEIGHT = 10_000
 TOKEN = r"[^ \t\n\r]+"
 
@@ -77,39 +76,72 @@ class Mixture:
         """Tokens of a round: a multiple of the window that grants each source a token at least."""
         return self.window * max(1, -(-int(self.weights.sum()) // (self.window * int(self.weights.min()))))
 
-    def served(self, source: int, at: np.ndarray, phases: tuple | None = None) -> np.ndarray:
-        """Tokens that the sources up to and with ``source`` have served when ``at`` were served in all."""
-        rank, begin, dry, left = phases or self.phases()
-        if source < 0:
-            return np.zeros(len(at), np.int64)
-        n = len(rank)
-        own_rank = rank[: source + 1]
-        by_rank = np.zeros((2, n), np.int64)
-        by_rank[:, own_rank] = self.totals[: source + 1], self.weights[: source + 1]
-        mine_dry = np.concatenate([[0], np.cumsum(by_rank[0])])[:-1]
-        mine_left = by_rank[1].sum() - np.concatenate([[0], np.cumsum(by_rank[1])])[:-1]
-        k = np.searchsorted(begin, at, "right") - 1
-        return mine_dry[k] + mine_left[k] * (at - dry[k]) // left[k]
-
-
-def _stretch(mix: Mixture, phases: tuple, source: int, first: int, sizes: np.ndarray) -> dict[str, np.ndarray]:
-    """Segments of consecutive documents of one queue, whose first token has number ``first`` in it."""
+
+class Served:
+    """What the sources up to one have served, for one source after the other.
+
+    The two sums of the formula, over the sources that have run dry and those
+    that haven't, are prefix sums by rank of the sources seen so far. They are
+    kept in binary indexed trees, so the next source and a look-up take steps of
+    the logarithm of the sources.
+    """
+
+    def __init__(self, mix: Mixture, phases: tuple, source: int) -> None:
+        self.mix, (self.rank, self.begin, self.dry, self.left) = mix, phases
+        n = len(self.rank)
+        self.seen = source  # sources below this one are in the trees
+        self.weight = int(mix.weights[:source].sum())
+        own = np.zeros((2, n + 1), np.int64)
+        own[:, self.rank[:source] + 1] = mix.totals[:source], mix.weights[:source]
+        own = np.cumsum(own, axis=1)
+        at = np.arange(n + 1)
+        self.trees = own - own[:, at - (at & -at)]
+
+    def move(self, source: int) -> None:
+        """Take in the sources up to, but without, this one."""
+        for i in range(self.seen, source):
+            at = int(self.rank[i]) + 1
+            while at < self.trees.shape[1]:
+                self.trees[0, at] += self.mix.totals[i]
+                self.trees[1, at] += self.mix.weights[i]
+                at += at & -at
+            self.weight += int(self.mix.weights[i])
+        self.seen = source
+
+    def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that the source to come and all before it have served when ``at`` were served in all."""
+        k = np.searchsorted(self.begin, at, "right") - 1
+        dry, gone, node = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), k.copy()
+        while node.any():
+            dry += self.trees[0, node]
+            gone += self.trees[1, node]
+            node &= node - 1
+        whole, rest = np.divmod(at - self.dry[k], self.left[k])
+        part = lambda dry, weight: dry + weight * whole + weight * rest // self.left[k]
+        total, weight, later = int(self.mix.totals[self.seen]), int(self.mix.weights[self.seen]), self.rank[self.seen] >= k
+        before = part(dry, self.weight - gone)
+        return part(dry + np.where(later, 0, total), self.weight - gone + np.where(later, weight, 0)) - before, before
+
+
+def _stretch(served: Served, first: int, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Segments of consecutive documents of the source to come, whose first token has number ``first`` in its queue."""
+    mix = served.mix
     last, total, step = first + int(sizes.sum()), int(mix.totals.sum()), mix.round()
     rounds = -(-total // step)
 
     def bounds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(w * step, total)
-        before = mix.served(source - 1, at, phases)
-        return mix.served(source, at, phases) - before, before
+        return served.bounds(np.minimum(w * step, total))
 
-    def window_of(token: int) -> int:  # the last window that begins at or before the token
-        low, high = 0, rounds
-        while high - low > 1:
+    def windows_of(tokens: np.ndarray) -> np.ndarray:  # the last window that begins at or before each token
+        low, high = np.zeros(len(tokens), np.int64), np.full(len(tokens), rounds)
+        while (high - low > 1).any():
             mid = (low + high) // 2
-            low, high = (mid, high) if bounds(np.array([mid]))[0][0] <= token else (low, mid)
+            fits = bounds(mid)[0] <= tokens
+            low, high = np.where(fits, mid, low), np.where(fits, high, mid)
         return low
 
-    w = np.arange(window_of(first), window_of(last - 1) + 2)
+    begin, end = windows_of(np.array([first, last - 1]))
+    w = np.arange(begin, end + 2)
     edge, before = bounds(w)
     ends = first + np.cumsum(sizes)
     starts = ends - sizes
@@ -150,8 +182,6 @@ def packed(documents: DataFrame, weights: Mapping[str | None, int] | None = None
     durable.discard(slim)
     sums = ranged.groupBy("source", "part").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     names = sorted({r["source"] for r in sums}, key=lambda x: (x is not None, x or ""))
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     place = {x: i for i, x in enumerate(names)}
     total = np.zeros(len(names), np.int64)
     begin: dict[tuple[int, int], int] = {}
@@ -165,6 +195,7 @@ def packed(documents: DataFrame, weights: Mapping[str | None, int] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix, phases, place, begin = shared.value
         done: dict[tuple[int, int], int] = {}
+        served: Served | None = None
         for b in batches:
             t = pa.Table.from_batches([b])
             part = t["part"].to_numpy()
@@ -175,7 +206,10 @@ def packed(documents: DataFrame, weights: Mapping[str | None, int] | None = None
                     continue
                 mine = (int(key[i]), int(part[i]))
                 sizes = t["n"].to_numpy()[i:j]
-                out = _stretch(mix, phases, mine[0], begin[mine] + done.get(mine, 0), sizes)
+                if served is None or mine[0] < served.seen:
+                    served = Served(mix, phases, mine[0])
+                served.move(mine[0])
+                out = _stretch(served, begin[mine] + done.get(mine, 0), sizes)
                 done[mine] = done.get(mine, 0) + int(sizes.sum())
                 doc = pa.array(out.pop("doc") + i)
                 yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from quirelake.llm import packing
@@ -77,6 +78,46 @@ def test_mixture_is_held_in_every_window(spark):
         assert [sum(share[w][s]) for s in "abc"] == [60, 30, 10]
 
 
+def test_many_sources(spark):
+    """Each with a stretch or two of its own; some run dry together."""
+    r = random.Random(9)
+    rows = [(i, f"s{r.randrange(400)}", " ".join("w" * r.randint(1, 9))) for i in range(1500)]
+    weights = {f"s{k}": 1 + k % 3 for k in range(400)}
+    out = packing.packed(make(spark, rows), weights, 16).collect()
+    assert sorted(spread(out), key=lambda x: x[:2]) == brute(rows, weights, 16)
+
+
+def test_look_ups_take_logarithmic_steps():
+    """Against sums over all sources, at any number of served tokens and for sources in their order."""
+    r = np.random.default_rng(3)
+    mix = packing.Mixture(r.integers(1, 10**6, 300), r.integers(1, 9, 300), 2048)
+    phases = mix.phases()
+    rank, begin, dry, left = phases
+    served = packing.Served(mix, phases, 5)
+    for source in (5, 6, 40, 299):
+        served.move(source)
+        at = r.integers(0, int(mix.totals.sum()) + 1, 50)
+        own, before = served.bounds(at)
+        for g, o, b in zip(at.tolist(), own.tolist(), before.tolist(), strict=True):
+            k = int(np.searchsorted(begin, g, "right")) - 1
+            upto = lambda i: sum(int(mix.totals[j]) for j in range(i) if rank[j] < k) + sum(int(mix.weights[j]) for j in range(i) if rank[j] >= k) * (g - int(dry[k])) // int(left[k])  # noqa: E731, B023
+            assert (o, b) == (upto(source + 1) - upto(source), upto(source))
+
+
+def test_odd_rows(spark):
+    """Null ids and repeats, packed in order: every token has a place of its own; a very long text fills windows."""
+    rows = [(None, "a", "x y"), (None, "a", "x"), (1, "a", "p q"), (1, "a", "p q"), (2, "a", "w " * 70_000), (3, "b", None), (4, None, "z")]
+    out = packing.packed(make(spark, rows), window=64).collect()
+    got = sorted((x.window_id, x.window_start, x.n_tokens) for x in out)
+    at = 0
+    for window, start, n in got:
+        assert (window, start) == divmod(at, 64) and start + n <= 64
+        at += n
+    assert at == 2 + 1 + 2 + 2 + 70_000 + 1
+    assert sum(x.n_tokens for x in out if x.doc_id is None) == 3 and sum(x.n_tokens for x in out if x.doc_id == 1) == 4
+    assert {x.source for x in out if x.doc_id == 4} == {None}
+
+
 def test_odd_tables(spark):
     assert packing.packed(make(spark, []), window=4).count() == 0
     rows = [(None, "a", "x y"), (1, "a", "x"), (1, "a", "x"), (1, None, "p q r")]
