@@ -13,8 +13,8 @@ the best-bin bound over the upper tail of a naive log-ratio score (Garg et al.,
 Work is spread as follows. Feature counts, the score histogram and every round
 of gradient updates read all documents, one task a split; tasks send sums per
 feature, which Spark adds up. Only the trusted positives are a sample, of at
-most ``max_positives`` rows, chosen by a hash of doc_id; their features are
-broadcast. The driver sees arrays of at most ``BUCKETS`` entries.
+most ``max_positives`` rows, chosen by hashes of doc_id and text; their features
+are broadcast. The driver sees arrays of at most ``BUCKETS`` entries.
 
 Defined results. Null and empty texts have no evidence against them beyond
 their shape features and are scored like any other text. Repeated rows get
@@ -48,8 +48,9 @@ class Params:
 
     A feature counts if its log ratio of unlabelled to positive rates is
     least_ratio at least and its count is least_deviation standard deviations off.
-    A document is kept if its score is above that of all but a share
-    ``sacrificed`` of the trusted positives that were held out of training.
+    Training starts from these log ratios. A document is kept if its learned
+    score is above that of all but a share ``sacrificed`` of the trusted positives
+    that were held out of training.
     """
 
     max_positives: int = 8192
@@ -57,9 +58,8 @@ class Params:
     least_ratio: float = 0.35
     least_deviation: float = 2.5
     rounds: int = 2
-    batch: int = 256
+    batch: int = 32
     rate: float = 0.3
-    penalty: float = 1e-4
     pseudo: float = 4.0
     sacrificed: float = 0.01
 
@@ -146,11 +146,12 @@ def positives(documents: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(p.max_positives)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left_semi")
+    known = documents.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left_semi")
+    return known.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(p.max_positives)  # rows may repeat a doc_id
 
 
 def _packed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a bounded table of texts, in the order of doc_id."""
+    """Features of a bounded table of texts, in the order of a hash of doc_id, which may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +160,7 @@ def _packed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 parts = [own[i:j].astype(np.int32).tobytes() for i, j in zip(indptr[:-1], indptr[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(parts)], pa.int64()), pa.array(parts, pa.binary())], ["id", "own"])
 
-    rows = sorted((r["id"], bytes(r["own"])) for r in df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, own binary").collect())
+    rows = sorted((r["id"], bytes(r["own"])) for r in df.select(F.xxhash64("doc_id").alias("doc_id"), "text").mapInArrow(run, "id long, own binary").collect())
     own = [np.frombuffer(x, np.int32) for _, x in rows]
     return np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int64)
 
@@ -207,17 +208,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Learner:
-    """Minibatch descent on the non-negative risk, with steps scaled by past gradients."""
+    """Minibatch descent on the non-negative risk, with steps scaled by past gradients.
 
-    def __init__(self, model: Model, start: np.ndarray, positive: tuple[np.ndarray, np.ndarray], p: Params, seed: int) -> None:
-        self.slots, self.prior, self.p, self.start = model.slots, model.prior, p, start
+    What is learned is the mean of the weights over the later half of the steps.
+    """
+
+    def __init__(self, model: Model, positive: tuple[np.ndarray, np.ndarray], p: Params, seed: int) -> None:
+        self.slots, self.prior, self.p = model.slots, model.prior, p
         self.w = np.append(model.weights, model.bias).astype(np.float64)
         self.past = np.full(len(self.w), 1e-3)
         self.positive, self.random = positive, np.random.default_rng(seed)
+        self.steps, self.sums = 0, [np.zeros(len(self.w))]  # of the weights, by ever longer runs of steps
 
     def _dense(self, indptr: np.ndarray, own: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(indptr[r], indptr[r + 1]) for r in rows)]).astype(np.int64)
-        row = np.repeat(np.arange(len(rows)), indptr[rows + 1] - indptr[rows])
+        size = indptr[rows + 1] - indptr[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(row)) + np.repeat(indptr[rows] - (np.cumsum(size) - size), size)
         slot = self.slots[own[at]]
         return row[slot >= 0], slot[slot >= 0]
 
@@ -236,9 +242,19 @@ class Learner:
         for (r, s), g in zip(sides, (g_p / len(some), g_u / len(rows)), strict=True):
             grad[:-1] -= np.bincount(s, g[r], minlength=len(grad) - 1)
             grad[-1] += g.sum()
-        grad[:-1] += p.penalty * (self.w[:-1] - self.start)
         self.past += grad * grad
         self.w -= p.rate * grad / np.sqrt(self.past)
+        self.steps += 1
+        self.sums[-1] += self.w
+        if self.steps & (self.steps + 1) == 0:  # a run ends before each power of two
+            self.sums = [*self.sums[-1:], np.zeros(len(self.w))]
+
+    def mean(self) -> np.ndarray:
+        """Of the weights over the last run and the one before it, which are half of all steps or more."""
+        if not self.steps:
+            return self.w
+        own = 1 << (self.steps + 1).bit_length() - 1  # steps from own on are in the last run
+        return sum(self.sums) / (self.steps + 1 - own + (own // 2 if len(self.sums) > 1 else 0))
 
     def learn(self, indptr: np.ndarray, own: np.ndarray) -> None:
         order = self.random.permutation(len(indptr) - 1)
@@ -246,12 +262,12 @@ class Learner:
             self.step(indptr, own, order[i : i + self.p.batch])
 
 
-def _round(texts: DataFrame, model: Model, start: np.ndarray, positive: tuple[np.ndarray, np.ndarray], p: Params) -> Model:
+def _round(texts: DataFrame, model: Model, positive: tuple[np.ndarray, np.ndarray], p: Params) -> Model:
     """One pass over all texts: each task descends from the model, and the ends are averaged by rows seen."""
-    shared = texts.sparkSession.sparkContext.broadcast((model, start, positive))
+    shared = texts.sparkSession.sparkContext.broadcast((model, positive))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, start, positive = shared.value
+        model, positive = shared.value
         learner, rows, held = None, 0, []
 
         def flush() -> None:
@@ -261,15 +277,15 @@ def _round(texts: DataFrame, model: Model, start: np.ndarray, positive: tuple[np
 
         for b in batches:
             for _, indptr, own in featured(b.column("text")):
-                learner = learner or Learner(model, start, positive, p, len(own))
+                learner = learner or Learner(model, positive, p, len(own))
                 held.append((indptr, own))
                 rows += len(indptr) - 1
-                if sum(len(i) for i, _ in held) > 8 * p.batch:
+                if sum(len(i) for i, _ in held) > 2048:
                     flush()
         if held:
             flush()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(learner.w)), pa.int32()), pa.array(np.append([1.0], learner.w) * rows, pa.float64())], ["f", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(learner.w)), pa.int32()), pa.array(np.append([1.0], learner.mean()) * rows, pa.float64())], ["f", "v"])
 
     found = texts.mapInArrow(run, "f int, v double").groupBy("f").agg(F.sum("v").alias("v")).orderBy("f").toArrow()["v"].to_numpy()
     shared.unpersist()
@@ -299,7 +315,7 @@ def trained(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> Mo
     on_held = np.bincount(_binned(naive.scores(*held)), minlength=BINS)
     model = Model(slots, ratio[active], 2.0, estimated_prior(_histogram(texts, naive), on_held))
     for _ in range(p.rounds):
-        model = _round(texts, model, ratio[active], fitted, p)
+        model = _round(texts, model, fitted, p)
     lowest = np.sort(model.scores(*held))
     return replace(model, cut=float(np.nextafter(lowest[int(p.sacrificed * n_h)], -np.inf)))
 

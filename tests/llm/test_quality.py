@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import quality
 
@@ -65,9 +66,9 @@ def test_gradient_matches_differences():
     texts = lambda n: (np.arange(n + 1) * 3, r.integers(0, 6, 3 * n))
     positive, unlabelled = texts(40), texts(50)
     for bias in (0.5, -2.0):
-        p = quality.Params(batch=40, penalty=0.0, rate=1.0)
+        p = quality.Params(batch=40, rate=1.0)
         model = quality.Model(slots, r.normal(size=6), bias, 0.6)
-        learner = quality.Learner(model, model.weights, positive, p, 0)
+        learner = quality.Learner(model, positive, p, 0)
         learner.past[:] = 1e12  # so that a step is a millionth of the gradient
         rows = np.arange(40)
         learner.random = type("R", (), {"integers": staticmethod(lambda *a: rows)})()
@@ -94,3 +95,39 @@ def test_odd_rows(spark, corpus):
     assert kept.columns == docs.columns
     assert quality.classify(docs, labels.limit(0)).where("NOT keep").count() == 0
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_sample_is_bounded_and_ids_may_be_text(spark, corpus):
+    docs, labels, truth = corpus
+    good = next(i for i, k in truth.items() if k == "clean" and i % 3 == 0)
+    copies = docs.where(f"doc_id = {good}").select("doc_id", "text", "id", "score", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("k"))
+    many = docs.unionAll(copies.select("doc_id", F.concat("text", F.lit(" "), "k"), "id", "score"))
+    p = quality.Params(max_positives=200)
+    assert quality.positives(many, labels, p).count() == 200
+    assert len(quality._packed(quality.positives(many, labels, p))[0]) == 201
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), labels.selectExpr("concat('d', doc_id) AS doc_id", "quality", "toxic")
+    kept = {r.doc_id for r in quality.classify(*named).where("keep").collect()}
+    assert np.mean([f"d{i}" in kept for i, k in truth.items() if k == "clean"]) > 0.97
+
+
+def test_query_on_held_out_labels(spark):
+    """The whole query over a table, held against labels: clean documents stay, most toxic and junk ones go."""
+    from quirelake.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    kept = queries.op10_quality(spark, folder).where("keep").select("doc_id", "keep")
+    out = spark.read.parquet(f"{folder}/labels.parquet").join(kept, "doc_id", "left").fillna(False, "keep").collect()
+    share = lambda f: np.mean([r.keep for r in out if f(r)])
+    assert share(lambda r: r.quality == 1 and r.toxic == 0) > 0.985
+    assert share(lambda r: r.toxic == 1) < 0.2 and share(lambda r: r.quality == 0) < 0.15
+
+
+def test_mean_of_the_later_steps():
+    learner = quality.Learner(quality.Model(np.arange(quality.BUCKETS), np.zeros(3), 0.0, 0.6), (np.array([0, 1]), np.array([0])), quality.Params(), 0)
+    seen = []
+    for _ in range(21):
+        learner.step(np.array([0, 2]), np.array([0, 1]), np.arange(1))
+        seen.append(learner.w.copy())
+        n = len(seen)
+        first = max(1, (1 << (n + 1).bit_length() - 1) // 2)  # the run before the last one begins here
+        np.testing.assert_allclose(learner.mean(), np.mean(seen[first - 1 :], axis=0))
