@@ -59,7 +59,8 @@ CHATML = Template(
 
 def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
     """Segments of valid conversations and one row for each rejected one."""
-    turns = conversations.select("conv_id", "turn", "role", "text").distinct()
+    every = conversations.select("conv_id", "turn", "role", "text")
+    turns = every.where("conv_id IS NOT NULL").distinct()
     whole = Window.partitionBy("conv_id")
     order = whole.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     before = F.coalesce(F.lag("role").over(order), F.lit(START))
@@ -68,8 +69,7 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
         allowed = F.when(before == state, F.col("role").isin(*roles)).otherwise(allowed)
     at = F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(": "))
     fault = (
-        F.when(F.col("conv_id").isNull(), F.lit("no conversation"))
-        .when(F.col("turn").isNull(), F.lit("no turn"))
+        F.when(F.col("turn").isNull(), F.lit("no turn"))
         .when(F.lag("turn").over(order) == F.col("turn"), F.concat(at, F.lit("occurs twice")))
         .when(F.col("role").isNull() | ~F.col("role").isin(*template.turns), F.concat(at, F.lit("unknown role")))
         .when(F.col("text").isNull(), F.concat(at, F.lit("no text")))
@@ -85,7 +85,7 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
     nothing = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("loss")))
     shown = judged.where("error IS NULL OR nth = 0").select("conv_id", "turn", "role", "nth", "error", F.posexplode(F.when(F.col("error").isNull(), segments).otherwise(nothing)).alias("k", "segment"))
     valid = F.col("error").isNull()
-    return shown.select(
+    made = shown.select(
         "conv_id",
         (3 * F.col("nth") + F.col("k")).cast("long").alias("position"),
         F.when(valid, F.col("turn")).otherwise(F.lit(-1)).alias("turn"),
@@ -94,3 +94,7 @@ def formatted(conversations: DataFrame, template: Template = CHATML) -> DataFram
         F.col("segment.loss").alias("loss"),
         "error",
     )
+    # turns of no conversation are one rejected one, told without gathering them
+    lost = every.where("conv_id IS NULL").limit(1)
+    said = {"conv_id": F.col("conv_id"), "position": F.lit(0), "turn": F.lit(-1), "role": F.lit(None), "text": F.lit(None), "loss": F.lit(False), "error": F.lit("no conversation")}
+    return made.unionByName(lost.select(*(said[f.name].cast(f.dataType).alias(f.name) for f in made.schema)))

@@ -13,6 +13,7 @@ compared. Trees are independent, and as many are grown as give the target recall
 
 Comparing a node that is too large to list its pairs goes document by document;
 pairs that are known to be in one group are skipped, which can't change groups.
+Copies of one document, which no branching parts, so cost one comparison each.
 Documents with the same words are put together before, by one hash, and only
 one of them enters the trees.
 
@@ -23,7 +24,7 @@ Plan: texts are read once; summaries of about 600 bytes a document are written.
 Level tables hold (node, doc_id); nodes of one document end there. Only
 documents that share a node are joined with their summaries.
 
-Defined results. Texts without words (null, empty) are duplicates of nothing.
+Defined results. doc_id is an integer. Texts without words (null, empty) are duplicates of nothing.
 Texts of one or two words are the set of that one run. Rows of a null doc_id are
 in no group, and :func:`one_of_each` keeps them all. Rows that agree in doc_id
 and text are one document, of which :func:`one_of_each` keeps one; rows that
@@ -33,6 +34,7 @@ stays. Columns other than doc_id and text are not read by :func:`groups`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,17 +51,32 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Params:
-    """similarity is what the trees are grown for; pairs whose estimate reaches least are similar."""
+    """similarity is what the trees are grown for; pairs whose estimate reaches least are similar.
+
+    recall is the least share of the pairs of that similarity that are to share
+    a node of the last level in some tree.
+    """
 
     similarity: float = 0.6
     least: float = 0.55
     functions: int = 128
     shingle: int = 3
-    trees: int = 6
+    recall: float = 0.95
     small: int = 48
     levels: int = 5
     seed: int = 3
 
+    @property
+    def trees(self) -> int:
+        """As many as reach the recall: two documents go on together to a number of children that is a branching process."""
+        mean, s = 1 / self.similarity, self.similarity
+        low, odd = math.floor(mean), mean - math.floor(mean)
+        parted = 0.0  # share of pairs that are parted before some level
+        for _ in range(self.levels):
+            one = 1 - s + s * parted
+            parted = (1 - odd) * one**low + odd * one ** (low + 1)
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(parted)))
+
 
 def _random(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 32, n, dtype=np.uint64)

@@ -1,18 +1,19 @@
 """Secret scan: sliding-window Shannon entropy per character class.
 
-For each class of characters (hexadecimal, Base64) the candidate strings are the
+For each class of characters (hexadecimal, capitals with digits, Base64) the candidate strings are the
 maximal runs of its characters that fill a window. The window slides over each
 candidate; counts of its characters are kept by adding one character and
 dropping one, and with them the sum of c * log2(c), from which the entropy
 follows. All candidates of a batch advance together. Windows at or above the
-threshold of the class merge into findings, unless a pattern of the allow list
-is found in the candidate.
+threshold of the class merge into findings, without the windows that overlap a
+match of the allow list: what is allowed hides nothing beside it.
 
 The scan is one pass without a shuffle. Texts without any run as long as the
 shortest window are told apart in the JVM and never reach Python.
 
 Defined results. Null and empty texts hold no secrets; a null stays null.
-Repeated rows give their findings once each. Very long candidates are cut into
+Repeated rows give their findings once each; a string may be found in several classes, and of equal
+windows all count. Very long candidates are cut into
 overlapping pieces, with the same windows. Columns other than doc_id and text
 are not read by :func:`findings` and are passed on by :func:`redacted`.
 """
@@ -44,6 +45,7 @@ class CharClass:
 
 CLASSES = (
     CharClass("hex", "0123456789abcdefABCDEF", 20, 3.0),
+    CharClass("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.6),
     CharClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.1),
 )
 #: Candidates that look random to a counter of characters and are no secrets.
@@ -109,7 +111,11 @@ def scan(piece: pa.Array, classes: tuple[CharClass, ...], allowed: re.Pattern) -
         for i in range(len(starts)):
             own = found[base[i] : base[i + 1]]
             high = np.flatnonzero(own >= k.least)
-            if not len(high) or allowed.search(data[starts[i] : ends[i]].tobytes().decode("ascii")):
+            if not len(high):
+                continue
+            for m in allowed.finditer(data[starts[i] : ends[i]].tobytes().decode("ascii")):
+                high = high[(high >= m.end()) | (high + k.window <= m.start())]
+            if not len(high):
                 continue
             for part in np.split(high, np.flatnonzero(np.diff(high) > k.window) + 1):
                 row = int(np.searchsorted(offsets, starts[i], "right")) - 1

@@ -81,3 +81,33 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200)], "a long, b long")
     got = {x.doc_id: x.group_id for x in neardup.components(edges).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), 200: 100}
+
+
+def test_trees_follow_the_recall():
+    """Of the branching process, drawn at random level by level."""
+    assert neardup.Params().trees == 6
+    assert neardup.Params(recall=0.99).trees > neardup.Params(recall=0.9).trees
+    r, p = random.Random(4), neardup.Params(recall=0.9)
+
+    def together(level):
+        if level == 0:
+            return True
+        count = int(1 / p.similarity) + (r.random() < 1 / p.similarity % 1)
+        return any(r.random() < p.similarity and together(level - 1) for _ in range(count))
+
+    met = sum(any(together(p.levels) for _ in range(p.trees)) for _ in range(4000)) / 4000
+    assert 0.89 < met < 0.97
+
+
+def test_query_matches_all_pairs(spark):
+    """The query over a table against groups by exact similarity of all pairs."""
+    import re
+
+    from quirelake.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+", r.text.lower()))) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = {x.doc_id: x.group_id for x in queries.op2_near_duplicates(spark, folder).collect()}
+    want = brute(rows, 0.65)
+    assert len(want) > 10 and sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)
+    assert not set(got) - set(brute(rows, 0.45))
