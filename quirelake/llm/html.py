@@ -5,7 +5,8 @@ LT tags are in links, of a body with C_b and LC_b,
 
     density = C / T * log(C / LC * T / LT, base = ln(C / (C - LC) * LC + LC_b / C_b * C + e))
 
-where a zero count under a fraction is taken as one. The density sum of an
+where a zero count under a fraction is taken as one, as is a logarithm to the
+base of one. The density sum of an
 element is the sum over its children. The element of the greatest sum is found
 among the body and all below it; the least density on its path to the body,
 without the body, is the threshold. From the body down, every element that
@@ -17,10 +18,12 @@ passed over: a footer or notice that is one run of text is dense, but no block.
 Pages are parsed one by one in Arrow batches, without a shuffle. The parser is
 iterative and forgiving: unclosed paragraphs, list items, cells and rows end
 where the next begins, stray end tags are passed over, comments, scripts and
-styles are no text.
+styles are no text. A slash before the end of a tag closes it only for elements
+that HTML doesn't know, as in drawings; on others it has no meaning.
 
 Defined results. A null page gives a null text, an empty one or one without any
-text an empty text; both have a density sum of 0. Of equal sums the first in
+text an empty text; both have a density sum of 0. Very long and deep pages are
+read whole. Of equal sums the first in
 document order is taken. Repeated rows give equal results. Columns other than
 page_id and html are not read.
 """
@@ -40,6 +43,8 @@ SILENT = frozenset("script style noscript template textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: Elements of HTML, which a slash doesn't close.
+PLAIN = BLOCK | SILENT | frozenset("a abbr b bdi bdo button caption cite code colgroup data datalist del dfn em head i iframe ins kbd label legend map mark menu meter object optgroup option output picture progress q s samp select small span strong sub sup time u var video audio".split())
 #: Elements that end where one of the others begins, up to the nearest boundary.
 ENDS = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol"})),
@@ -51,7 +56,10 @@ ENDS = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 _SCOPE = frozenset("article aside blockquote body div footer header html li main nav section table td th".split())
-_TAG = re.compile(r"""<(?:!--(?P<note>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?P<closed>>)|[!?][^>]*+>)""")
+#: Attributes are names with a value in quotes or up to a blank; a slash that ends an unquoted value is part of it.
+_TAG = re.compile(
+    r"""<(?:!--(?P<note>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s"'>][^\s>]*+|(?P<shut>/(?=>))|[^>=])*+(?P<closed>>)|[!?][^>]*+>)"""
+)
 _BLANK = re.compile(r"\s+")
 
 
@@ -110,7 +118,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[list]]:
         inside.append([])
         me = len(tags) - 1
         inside[stack[-1]].append(me)
-        if name in VOID or page[at - 2] == "/":
+        if name in VOID or m["shut"] and name not in PLAIN:
             continue
         if name in SILENT:
             stop = re.compile(rf"</{re.escape(name)}\s*+>?", re.IGNORECASE).search(page, at)

@@ -12,6 +12,10 @@ batch are the places of repeated windows; a table of the batch's documents, sent
 once, turns them into intervals. Nothing is broadcast or collected. Two
 different windows take each other for repeats with a chance of n / 2**64 each.
 
+The number of parts follows the bytes that are read, so what a task holds stays
+the same as the input grows; a batch grows with them, so that its rows stay
+worth sending.
+
 Batches are numbered by partition and order, so a lost task must read the same
 rows again: documents should be a stored table, as is usual, rather than the
 outcome of an unordered shuffle.
@@ -35,6 +39,8 @@ from quirelake.llm import _text
 
 WIDTH = 50
 BATCH_BYTES = 6 << 20
+PART_BYTES = 512 << 20
+WORTH = 64  # windows that a batch sends to a part in the mean, at least
 _U = np.uint64
 
 
@@ -161,9 +167,22 @@ def merged(width: int):
     return run
 
 
-def repeated(documents: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def parts_of(documents: DataFrame, part_bytes: int) -> int:
+    """How many tasks count the hashes: as many as shuffle partitions, or more where each would get over ``part_bytes``.
+
+    A word has some 7 bytes of text and one window, of which 10 bytes are sent, so
+    files of usual compression send three times the bytes that the plan reads.
+    """
+    spark = documents.sparkSession
+    size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # a plan without statistics says more
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // part_bytes) if known else 1)
+
+
+def repeated(documents: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, start_word, end_word (exclusive) and n_windows of every maximal interval of repeated windows."""
-    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(documents, part_bytes)
+    batch_bytes = max(batch_bytes, 7 * WORTH * parts)
     rows = "part int, batch long, kind int, data binary"
     found = (
         documents.select("doc_id", "text")

@@ -31,7 +31,7 @@ def brute(page):
         if not c:
             return 0.0
         inner = math.log(c / max(1, c - lc) * lc + lc_b / max(1, c_b) * c + math.e)
-        return c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt), inner)
+        return c / max(1, t) * (math.log(c / max(1, lc) * max(1, t) / max(1, lt), inner) if inner > 1 else 1)
 
     every = list(body.iter())
     sums = [sum(density(c) for c in e) for e in every]
@@ -74,3 +74,56 @@ def test_several_content_blocks():
     lines = text.split("\n")
     assert tag == "section" and "item" not in text
     assert [x.split()[0] for x in lines] == ["first"] * 6 + ["second"] * 5
+
+
+def random_page(seed):
+    """A well-formed page of nested containers, links and runs of text."""
+    import random
+
+    r = random.Random(seed)
+    words = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet,", "of", "and"]) for _ in range(n))
+
+    def element(depth):
+        tag = r.choice(["div", "section", "span", "article", "td"] if depth < 4 else ["b", "span"])
+        inner = "".join(r.choice([lambda: words(r.randint(1, 40)), lambda: f'<a href="/{r.randint(1, 9)}">{words(r.randint(1, 5))}</a>', lambda: element(depth + 1) if depth < 5 else words(2)])() for _ in range(r.randint(1, 5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    return "<html><body>" + "".join(element(0) for _ in range(r.randint(1, 5))) + "</body></html>"
+
+
+def test_random_pages_match_definitions():
+    """The element of the greatest sum and its sum, by a recount for every element."""
+    for seed in range(200):
+        page = random_page(seed).replace("<td>", "<x-td>").replace("</td>", "</x-td>")
+        text, total = brute(page)
+        tags, parents, inside = html.parse(page)
+        density, sums, body = html.densities(tags, parents, inside)
+        best, _ = html.content(parents, density, sums, body)
+        assert max(sums[body:]) == pytest.approx(total) and sums[best] == pytest.approx(total)
+        assert "".join(html.text_of(best, tags, inside).split()) == "".join(text.split())
+
+
+def test_slashes_and_unquoted_values():
+    tags, parents, inside = html.parse("<body><a href=http://x.y/>link</a> <div/>in it</div><br/><svg><path d=1 /><g/>t</svg><p title='a>b' class=c/d>p</p><img src=a/>")
+    assert tags == ["#page", "body", "a", "div", "br", "svg", "path", "g", "p", "img"]
+    assert parents == [-1, 0, 1, 1, 1, 1, 5, 5, 1, 1] and inside[2] == ["link"] and inside[3] == ["in it"] and inside[8] == ["p"]
+
+
+def test_ties_take_the_first(spark):
+    half = "<div><p>The same words here.</p><p>And the same again.</p></div>"
+    pages = spark.createDataFrame([(1, f"<body>{half}{half}</body>"), (1, f"<body>{half}{half}</body>")], "page_id long, html string")
+    out = [tuple(x) for x in html.extracted(pages).collect()]
+    assert out[0] == out[1]
+    tags, parents, inside = html.parse(f"<body>{half}{half}</body>")
+    density, total, body = html.densities(tags, parents, inside)
+    assert html.content(parents, density, total, body)[0] == min(i for i in range(len(total)) if total[i] == max(total))
+
+
+def test_query_extracts_every_page(spark):
+    """Each page of a table by itself, in plain Python."""
+    from quirelake.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = {r.page_id: html.extract(r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.tag, r.density_sum) for r in queries.op3_html(spark, folder).collect()}
+    assert got == want and all(x[0] for x in want.values())
