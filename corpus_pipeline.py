@@ -1,4 +1,18 @@
-"""From raw documents to packed training windows, in stages."""
+"""From raw documents to packed training windows, in stages.
+
+Each stage reads what the one before it wrote, with whatever columns documents
+has; all but the last return them as they are.
+
+Defined results. A null doc_id stays through all stages (it has no label and no
+near duplicate) and comes first in its queue. Null and empty texts are judged by
+their shape alone, are duplicates of nothing, leak nothing, hold no secret and
+fill no window. Rows equal in doc_id and text become one; of near copies the
+least doc_id stays. Equal scores and equal counts are decided alike. Very long
+texts are read whole. An empty table of documents gives no windows; without any
+labels all documents are kept by the first stage, and without a benchmark by the
+third. Columns of other names, such as score, keep, group_id or window_id, are
+passed on and clash with nothing.
+"""
 
 from __future__ import annotations
 
