@@ -19,7 +19,7 @@ edges fit ``broadcast_bytes`` the graph is broadcast for the search; a larger on
 is searched by rounds of joins of the beams with edges and vectors. Both take
 the same steps and give the same rows, but for rounding in the last place.
 
-Defined results. Null ids, null or empty vectors, vectors with a null or NaN and
+Defined results. Null ids, null or empty vectors, vectors with a null, NaN or infinity and
 those whose length isn't the most frequent one (the least of equals) are left
 out, as queries and as neighbours. Ids are integers, or strings that are: others are null. Of rows with one id the first in the order of
 their vectors counts. A zero vector has similarity 0 to all. Neighbours are
@@ -67,12 +67,19 @@ class Params:
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and unit vector of the rows that count."""
     own = df.select(F.expr(f"try_cast(`{id_col}` AS BIGINT)").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
-    own = own.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
+    own = own.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     common = own.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     own = own.where(F.size("vec") == (common[0]["dims"] if common else 0))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("vec"))).where("nth = 1").drop("nth")
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    return own.select("id", F.transform("vec", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float")).alias("vec"))
+    return own.select("id", "vec").mapInArrow(_units, "id long, vec array<float>")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = _matrix(b.column("vec"), np.float64)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = (x / np.where(norm > 0, norm, 1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column("id"), _lists(list(x), pa.float32())], ["id", "vec"])
 
 
 def _matrix(column: pa.Array, dtype: type = np.float32) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, decontamination, html, maxent, neardup, neighbours, packing, quality, secrets, substrings
+from quirelake.llm import chat, decontamination, html, inverted, maxent, neardup, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+    """Neighbours of the rows whose id is divisible by 50, among all rows."""
+    return inverted.neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
