@@ -60,6 +60,7 @@ START = 1 << 29  # stands for words before the beginning of a text
 LITTLE = 1e-4
 BLOCK_ROWS = 1 << 14  # rows of a table that are averaged together
 HIGH = 60.0  # bound of logits
+SLOTS = 1 << 19  # in which rows of a batch that occur again are looked for; a power of two
 
 
 @dataclass(frozen=True)
@@ -203,11 +204,11 @@ def rows_of(features: np.ndarray, nodes: np.ndarray, rows: int) -> np.ndarray:
     return own.view(np.int64)
 
 
-def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of each history, prior and sums of its rows, and their exponentials; prior is overwritten."""
+def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of each history, prior and sums of its rows, and their exponentials; prior is overwritten, met gets the rows."""
     z = prior
-    for own in rows:
-        z += np.take(table, own, axis=0)
+    for i, own in enumerate(rows):
+        z += np.take(table, own, axis=0, out=None if met is None else met[i], mode="clip")
     z[:, BRANCHES] = -HIGH  # no branch
     np.minimum(z, HIGH, out=z)
     np.maximum(z, -HIGH, out=z)
@@ -217,7 +218,7 @@ def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[n
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
     where, node, branch = paths(model, ids)
-    z, e = exponents(model.table, rows_of(features[where], node, len(model.table)), np.take(model.prior, node, axis=0))
+    z, e = exponents(model.table, rows_of(np.take(features, where, axis=0), node, len(model.table)), np.take(model.prior, node, axis=0))
     log = z.ravel()[np.arange(0, z.size, LANES) + branch] - np.log(e @ _ONES)
     out = np.bincount(where, log, minlength=len(ids))
     first = len(model.parent) - len(model.prior) - len(model.within)
@@ -230,21 +231,50 @@ class Learner:
     """Gradient steps on a table, each scaled by the gradients that its row has had."""
 
     def __init__(self, table: np.ndarray, rate: float) -> None:
-        self.table, self.rate = table.copy(), rate
+        self.table, self.rate = table.astype(table.dtype.type), rate  # a copy, of the dtype object that numpy's fast sums in place ask for
         self.table[:, BRANCHES] = LITTLE
+        self.slots = np.empty(min(len(table), SLOTS), np.int32)
+        self.met = np.empty((0, 0, LANES), np.float32)
+
+    def repeated(self, rows: np.ndarray) -> np.ndarray:
+        """Marks, line by line, every row that occurs more than once, and a few others that share a slot."""
+        slot = rows.ravel() & (len(self.slots) - 1)
+        place = np.arange(len(slot), dtype=np.int32)
+        self.slots[slot] = place
+        self.slots[slot[np.take(self.slots, slot) != place]] = -1
+        return (np.take(self.slots, slot) < 0).reshape(rows.shape)
 
     def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
-        _, error = exponents(self.table, rows, prior)
+        if self.met.shape[1] < rows.shape[1]:
+            self.met = np.empty((len(rows), rows.shape[1], LANES), self.table.dtype)
+        met = self.met[:, : rows.shape[1]]
+        _, error = exponents(self.table, rows, prior, met)
         error /= (error @ _ONES)[:, None]
         flat = error.ravel()
         flat[np.arange(0, error.size, LANES) + target] -= 1
         error[:, BRANCHES] = 0
-        square = np.square(error) @ _ONES
+        error = error.view(self.table.dtype)  # of the same object; unpickled arrays have another
+        square = (np.square(error) @ _ONES).view(self.table.dtype)
+        again = self.repeated(rows)
+        # rows that occur once are written whole, with others as they are, to which gradients are added afterwards
+        whole = self.table.view(np.complex128)
+        wide = whole.shape[1]
+        whole = whole.ravel()
+        for own, x, more in zip(rows, met, again, strict=True):
+            total = x[:, BRANCHES] + np.where(more, 0, square)
+            x -= error * np.where(more, 0, self.rate / np.sqrt(total)).astype(x.dtype)[:, None]
+            x[:, BRANCHES] = total
+            place = np.empty((len(own), wide), np.int64)
+            for i in range(wide):
+                np.add(own * wide, i, out=place[:, i])
+            whole[place.ravel()] = x.view(np.complex128).ravel()
         flat = self.table.ravel()
-        for own in rows:
-            first = own * LANES
-            np.add.at(flat, first + BRANCHES, square)
-            scaled = error * (self.rate / np.sqrt(flat[first + BRANCHES]))[:, None]
+        again = [np.flatnonzero(x) for x in again]
+        for own, some in zip(rows, again, strict=True):
+            np.add.at(flat, own[some] * LANES + BRANCHES, square[some])
+        for own, some in zip(rows, again, strict=True):
+            first = own[some] * LANES
+            scaled = np.take(error, some, axis=0) * (self.rate / np.sqrt(flat[first + BRANCHES]))[:, None]
             np.subtract.at(flat, (first[:, None] + _LANES).ravel(), scaled.ravel())
 
 
@@ -273,7 +303,7 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
                 features = history(own, t.bounds)
                 for low in range(0, len(own), p.batch):
                     where, node, branch = paths(model, own[low : low + p.batch])
-                    seen = features[low : low + p.batch][where]
+                    seen = np.take(features[low : low + p.batch], where, axis=0)
                     learner.step(rows_of(seen, node, len(model.table)), np.take(model.prior, node, axis=0), branch)
         for i in range(blocks if learner else 0):
             own = slice(i * size, (i + 1) * size)

@@ -147,6 +147,32 @@ def test_gradient_matches_differences():
     np.testing.assert_allclose((table - learner.table)[:, :n] * 1e6, want, atol=1e-3)
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_rows_that_repeat_within_a_batch(kind):
+    """Gradients and their squares against plain loops: rows met once, many times, by several features, and in shared slots."""
+    r, n = np.random.default_rng(7), maxent.BRANCHES
+    table = np.append(r.normal(size=(2 * maxent.SLOTS, n)), np.zeros((2 * maxent.SLOTS, 1)), axis=1).astype(kind)
+    rows = r.integers(0, len(table), (3, 300))
+    rows[:, :40] = r.integers(0, 9, (3, 40))
+    rows[1, 50:60] = rows[0, 60:70] + maxent.SLOTS * np.where(rows[0, 60:70] < maxent.SLOTS, 1, -1)
+    target = r.integers(0, n, 300)
+    prior = np.append(r.normal(size=(300, n)), np.full((300, 1), -1e9), axis=1).astype(kind)
+    z = prior[:, :n] + sum(table[x, :n] for x in rows)
+    error = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    error[np.arange(300), target] -= 1
+    total, want = np.full(len(table), maxent.LITTLE), table[:, :n].astype(float)
+    for x in rows:
+        for at, e in zip(x, error, strict=True):
+            total[at] += (e * e).sum()
+    for x in rows:
+        for at, e in zip(x, error, strict=True):
+            want[at] -= 0.1 * e / math.sqrt(total[at])
+    learner = maxent.Learner(table, 0.1)
+    learner.step(rows, prior, target)
+    np.testing.assert_allclose(learner.table[:, :n], want, atol=1e-4)
+    np.testing.assert_allclose(learner.table[:, n], total, rtol=1e-3)
+
+
 def test_ties_and_repeated_rows(spark):
     """Words of equal count get ids by hash, whatever the order of rows; repeated rows count as often as they occur."""
     texts = ["b a", "a b", "d c", "c d"] * 30
