@@ -18,8 +18,9 @@ history: the last word, the last two words (a bigram) and the word before the
 last (a skip). Features, with the node, are hashed to rows of a table of
 weights, at least as many as there are leaves.
 
-Training is one pass a round over every word of the corpus: tasks, two a core,
-start from the broadcast weights and take minibatch gradient steps, scaled by
+The ids of all words are looked up once and written in the shared folder, for
+training and scoring to read. Training is one pass a round over every word of
+the corpus: tasks, two a core, start from the broadcast weights and take minibatch gradient steps, scaled by
 past gradients; the tables they end with are averaged row by row, each row
 weighted by the squares of the gradients that a task has seen there. Tables go
 to the sums, which Spark makes in blocks of rows, in half precision. Scoring gathers the rows of a batch of
@@ -40,6 +41,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,9 @@ from quirelake.plans import durable
 
 _U = np.uint64
 BRANCHES = 7
-LANES = BRANCHES + 1  # of a row of weights; in the last one, the squares of its gradients
-_ONES, _LANES = np.ones(LANES, np.float32), np.arange(LANES)
+LANES = BRANCHES + 1  # of a row of weights, a power of two; in the last one, the squares of its gradients
+SHIFT = LANES.bit_length() - 1
+_ONES, _ALL, _LANES = np.ones(LANES, np.float32), np.ones((LANES, LANES), np.float32), np.arange(LANES)
 LEAST = 2  # occurrences of a word that has a leaf of its own
 RARE = 64  # leaves that words of fewer occurrences share, at least
 WORDS = 1024  # leaves of the tree, at least
@@ -60,7 +63,9 @@ START = 1 << 29  # stands for words before the beginning of a text
 LITTLE = 1e-4
 BLOCK_ROWS = 1 << 14  # rows of a table that are averaged together
 HIGH = 60.0  # bound of logits
-SLOTS = 1 << 19  # in which rows of a batch that occur again are looked for; a power of two
+SLOTS = 1 << 17  # in which rows of a batch that occur again are looked for; a power of two
+ALIGNED = 64  # bytes of a line of the cache
+SCORED = 2048  # words that are scored at once; the arrays of so many stay in the cache
 
 
 @dataclass(frozen=True)
@@ -71,6 +76,15 @@ class Params:
     rate: float = 0.1
 
 
+def aligned(array: np.ndarray) -> np.ndarray:
+    """A copy whose rows of LANES numbers begin at multiples of their size, so that none lies in more lines of the cache than it must."""
+    raw = np.empty(array.nbytes + ALIGNED, np.uint8)
+    start = -raw.ctypes.data % ALIGNED
+    out = raw[start : start + array.nbytes].view(array.dtype.type).reshape(array.shape)  # of the dtype object that numpy's fast sums in place ask for; unpickled arrays have another
+    out[...] = array
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     words: np.ndarray  # hashes of the words with a leaf of their own, sorted
@@ -81,6 +95,14 @@ class Model:
     prior: np.ndarray  # log shares of the branches of each node
     table: np.ndarray  # rows of weights
 
+    def __setstate__(self, state: dict) -> None:  # in a task, where a model is unpickled
+        self.__dict__.update(state, table=aligned(state["table"]))
+
+    @cached_property
+    def above(self) -> np.ndarray:
+        """Parent and branch in one number."""
+        return (self.parent << SHIFT) + self.branch
+
 
 def leaves(words: int) -> tuple[int, int]:
     """Number of the first shared leaf and of shared leaves for so many words with leaves of their own."""
@@ -158,17 +180,20 @@ def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parent, branch, prior
 
 
-def paths(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the word, node and branch of every step from the root to some words, level by level."""
+def paths(model: Model, ids: np.ndarray, batch: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of some words, with the place of the word in it, node and branch of every step from the root, level by level."""
     n = len(model.parent) - len(model.prior)
-    who, at, steps = np.arange(len(ids)), ids, []
+    cut = np.arange(0, len(ids) + batch, batch)
+    who, at, levels = np.arange(len(ids)), ids, []
     while len(who):
-        node = model.parent[at]
-        steps.append((who, node, model.branch[at]))
-        on = np.flatnonzero(node)
-        who, at = who[on], n + node[on]
-    where, node, branch = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (ids,) * 3
-    return where, node, branch
+        above = np.take(model.above, at)
+        levels.append((who, above, np.searchsorted(who, cut)))
+        on = np.flatnonzero(above >= LANES)
+        who, at = np.take(who, on), (np.take(above, on) >> SHIFT) + n
+    for i, low in enumerate(cut[:-1].tolist()):
+        where, above = (np.concatenate([x[k][x[2][i] : x[2][i + 1]] for x in levels]) for k in (0, 1))
+        where -= low
+        yield slice(low, low + batch), where, above >> SHIFT, above & (LANES - 1)
 
 
 def word_ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -181,6 +206,32 @@ def word_ids(hashes: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarr
     return found[back]
 
 
+def coded(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the ids of the words of every document."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.words, model.ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in _text.tokenised(b.column("text")):
+                own, ends = word_ids(t.hashes, *shared.value).astype(np.int32), (t.bounds * 4).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(t), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, len(t)), ids.cast(pa.binary())], ["doc_id", "ids"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+
+
+def runs(b: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Ids of the words of runs of documents, with the first row and the bounds of each; from their texts, or their ids where these are known."""
+    if "ids" in b.schema.names:
+        for first, piece in _text.slices(b.column("ids").cast(pa.large_binary()), _text.CHUNK_BYTES // 2):
+            data, ends = _text.raw(piece)
+            yield first, data.view(np.int32).astype(np.int64), ends // 4
+    else:
+        for t in _text.tokenised(b.column("text")):
+            yield t.first, word_ids(t.hashes, model.words, model.ids), t.bounds
+
+
 def history(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hashed features of the words before each word of documents, one column each."""
     back = []
@@ -198,7 +249,7 @@ def history(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def rows_of(features: np.ndarray, nodes: np.ndarray, rows: int) -> np.ndarray:
     """Rows of the table, of which there are a power of two, for features of histories at nodes: one line for each feature."""
-    own = features.T ^ _text.mix(nodes.astype(np.uint64) + _U(1))
+    own = np.bitwise_xor(features.T, _text.mix(nodes.astype(np.uint64) + _U(1)), order="C")
     own *= _U(0x9E3779B97F4A7C15)
     own >>= _U(65 - rows.bit_length())
     return own.view(np.int64)
@@ -217,10 +268,11 @@ def exponents(table: np.ndarray, rows: np.ndarray, prior: np.ndarray, met: np.nd
 
 def log_probabilities(model: Model, ids: np.ndarray, features: np.ndarray) -> np.ndarray:
     """log P(word | history) of each word."""
-    where, node, branch = paths(model, ids)
-    z, e = exponents(model.table, rows_of(np.take(features, where, axis=0), node, len(model.table)), np.take(model.prior, node, axis=0))
-    log = z.ravel()[np.arange(0, z.size, LANES) + branch] - np.log(e @ _ONES)
-    out = np.bincount(where, log, minlength=len(ids))
+    out = np.zeros(len(ids))
+    for some, where, node, branch in paths(model, ids, SCORED):
+        z, e = exponents(model.table, rows_of(np.take(features[some], where, axis=0), node, len(model.table)), np.take(model.prior, node, axis=0))
+        log = z.ravel()[np.arange(0, z.size, LANES) + branch] - np.log(e @ _ONES)
+        out[some] = np.bincount(where, log, minlength=len(out[some]))
     first = len(model.parent) - len(model.prior) - len(model.within)
     shared = ids >= first
     out[shared] += model.within[ids[shared] - first]
@@ -231,79 +283,94 @@ class Learner:
     """Gradient steps on a table, each scaled by the gradients that its row has had."""
 
     def __init__(self, table: np.ndarray, rate: float) -> None:
-        self.table, self.rate = table.astype(table.dtype.type), rate  # a copy, of the dtype object that numpy's fast sums in place ask for
+        self.table, self.rate = aligned(table), rate
         self.table[:, BRANCHES] = LITTLE
         self.slots = np.empty(min(len(table), SLOTS), np.int32)
-        self.met = np.empty((0, 0, LANES), np.float32)
+        self.pair = np.complex64 if table.itemsize == 4 else np.complex128  # two numbers that are summed at once
+        self._hold(0)
 
-    def repeated(self, rows: np.ndarray) -> np.ndarray:
-        """Marks, line by line, every row that occurs more than once, and a few others that share a slot."""
-        slot = rows.ravel() & (len(self.slots) - 1)
-        place = np.arange(len(slot), dtype=np.int32)
+    def _hold(self, size: int) -> None:
+        self.met, self.sums = (aligned(np.empty((size, LANES), self.table.dtype)) for _ in range(2))
+        self.place = np.arange(size, dtype=np.int32)
+
+    def last(self, rows: np.ndarray) -> np.ndarray:
+        """For each of some rows the last place at which it occurs."""
+        place = self.place[: len(rows)]
+        slot = rows & (len(self.slots) - 1)
         self.slots[slot] = place
-        self.slots[slot[np.take(self.slots, slot) != place]] = -1
-        return (np.take(self.slots, slot) < 0).reshape(rows.shape)
+        last = np.take(self.slots, slot)
+        left = np.flatnonzero(last != place)
+        left = np.take(left, np.flatnonzero(np.take(rows, np.take(last, left)) != np.take(rows, left)))
+        while len(left):  # other rows have their slot
+            some = np.take(slot, left)
+            self.slots[some] = left
+            last[left] = found = np.take(self.slots, some)
+            left = np.take(left, np.flatnonzero(np.take(rows, found) != np.take(rows, left)))
+        return last
 
     def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
-        if self.met.shape[1] < rows.shape[1]:
-            self.met = np.empty((len(rows), rows.shape[1], LANES), self.table.dtype)
-        met = self.met[:, : rows.shape[1]]
-        _, error = exponents(self.table, rows, prior, met)
-        error /= (error @ _ONES)[:, None]
+        if len(self.place) < rows.size:
+            self._hold(rows.size + rows.size // 4)
+        met, sums = self.met[: rows.size], self.sums[: rows.size]
+        _, error = exponents(self.table, rows, prior, met.reshape(*rows.shape, LANES))
+        error /= error @ _ALL  # the sum in every lane
         flat = error.ravel()
         flat[np.arange(0, error.size, LANES) + target] -= 1
         error[:, BRANCHES] = 0
-        error = error.view(self.table.dtype)  # of the same object; unpickled arrays have another
-        square = (np.square(error) @ _ONES).view(self.table.dtype)
-        again = self.repeated(rows)
-        # rows that occur once are written whole, with others as they are, to which gradients are added afterwards
-        whole = self.table.view(np.complex128)
-        wide = whole.shape[1]
-        whole = whole.ravel()
-        for own, x, more in zip(rows, met, again, strict=True):
-            total = x[:, BRANCHES] + np.where(more, 0, square)
-            x -= error * np.where(more, 0, self.rate / np.sqrt(total)).astype(x.dtype)[:, None]
-            x[:, BRANCHES] = total
-            place = np.empty((len(own), wide), np.int64)
-            for i in range(wide):
-                np.add(own * wide, i, out=place[:, i])
-            whole[place.ravel()] = x.view(np.complex128).ravel()
-        flat = self.table.ravel()
-        again = [np.flatnonzero(x) for x in again]
-        for own, some in zip(rows, again, strict=True):
-            np.add.at(flat, own[some] * LANES + BRANCHES, square[some])
-        for own, some in zip(rows, again, strict=True):
-            first = own[some] * LANES
-            scaled = np.take(error, some, axis=0) * (self.rate / np.sqrt(flat[first + BRANCHES]))[:, None]
-            np.subtract.at(flat, (first[:, None] + _LANES).ravel(), scaled.ravel())
+        error[:, BRANCHES] = np.square(error) @ _ONES
+        sums.reshape(*rows.shape, LANES)[...] = error
+        # all gradients of a row are summed at its last place, which is the last that is written
+        rows = rows.ravel()
+        last = self.last(rows)
+        place = np.flatnonzero(last != self.place[: len(rows)])
+        pairs = sums.view(self.pair)
+        wide = pairs.shape[1]
+        np.add.at(pairs.ravel(), (np.take(last, place).astype(np.int64)[:, None] * wide + _LANES[:wide]).ravel(), np.take(pairs, place, axis=0).ravel())
+        total = met[:, BRANCHES] + sums[:, BRANCHES]
+        sums *= (self.rate / np.sqrt(total))[:, None]
+        met -= sums
+        met[:, BRANCHES] = total
+        whole = f"V{LANES * met.itemsize}"
+        np.put(self.table.view(whole), rows, met.view(whole), mode="clip")
 
 
 def trained(documents: DataFrame, p: Params = Params()) -> Model:
     """Vocabulary and weights from every word of the corpus."""
+    model, known = _trained(documents, p)
+    durable.discard(known)
+    return model
+
+
+def scores(documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """The documents scored by a model of all of them; their words are looked up once."""
+    model, known = _trained(documents, p)
+    return scored(known, replace(model, words=model.words[:0], ids=model.ids[:0]))
+
+
+def _trained(documents: DataFrame, p: Params) -> tuple[Model, DataFrame]:
     words, ids, counts, members = vocabulary(documents)
     rows = max(p.rows, 1 << len(counts).bit_length())
     model = Model(words, ids, -np.log1p(members), *tree(counts), np.zeros((rows, LANES), np.float32))
+    known = durable.written(coded(documents, model), "ids")
     for _ in range(p.rounds):
-        model = _round(documents, model, p)
-    return model
+        model = _round(known, model, p)
+    return model, known
 
 
-def _round(documents: DataFrame, model: Model, p: Params) -> Model:
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+def _round(known: DataFrame, model: Model, p: Params) -> Model:
+    sc = known.sparkSession.sparkContext
+    shared = sc.broadcast(replace(model, words=model.words[:0], ids=model.ids[:0]))
     size = min(BLOCK_ROWS, len(model.table))
     blocks = len(model.table) // size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, learner = shared.value, None
         for b in batches:
-            for t in _text.tokenised(b.column("text")):
+            for _, own, bounds in runs(b, model):
                 learner = learner or Learner(model.table, p.rate)
-                own = word_ids(t.hashes, model.words, model.ids)
-                features = history(own, t.bounds)
-                for low in range(0, len(own), p.batch):
-                    where, node, branch = paths(model, own[low : low + p.batch])
-                    seen = np.take(features[low : low + p.batch], where, axis=0)
+                features = history(own, bounds)
+                for some, where, node, branch in paths(model, own, p.batch):
+                    seen = np.take(features[some], where, axis=0)
                     learner.step(rows_of(seen, node, len(model.table)), np.take(model.prior, node, axis=0), branch)
         for i in range(blocks if learner else 0):
             own = slice(i * size, (i + 1) * size)
@@ -325,7 +392,7 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
-    learnt = documents.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
+    learnt = known.select("ids").coalesce(2 * sc.defaultParallelism).mapInArrow(learn, schema)
     found = learnt.repartitionById(blocks, "block").mapInArrow(mean, schema).toArrow()
     shared.unpersist()
     table = model.table.copy()
@@ -337,26 +404,21 @@ def _round(documents: DataFrame, model: Model, p: Params) -> Model:
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_prob (natural) and perplexity of every document."""
+    """doc_id, n_words, log_prob (natural) and perplexity of every document, from its text or the ids of :func:`coded`."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for t in _text.tokenised(b.column("text")):
-                own = word_ids(t.hashes, model.words, model.ids)
-                features = history(own, t.bounds)
-                total = np.zeros(len(own) + 1)
-                for low in range(0, len(own), 8192):
-                    total[low + 1 : low + 8193] = log_probabilities(model, own[low : low + 8192], features[low : low + 8192])
-                total = np.cumsum(total)
-                log = total[t.bounds[1:]] - total[t.bounds[:-1]]
-                n = np.diff(t.bounds)
+            for first, own, bounds in runs(b, model):
+                total = np.append(0.0, np.cumsum(log_probabilities(model, own, history(own, bounds))))
+                log = total[bounds[1:]] - total[bounds[:-1]]
+                n = np.diff(bounds)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     perplexity = np.exp(-log / n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(t.first, len(t)), pa.array(n, pa.int64()), pa.array(log), pa.array(perplexity, from_pandas=False)], ["doc_id", "n_words", "log_prob", "perplexity"]
+                    [b.column("doc_id").slice(first, len(n)), pa.array(n, pa.int64()), pa.array(log), pa.array(perplexity, from_pandas=False)], ["doc_id", "n_words", "log_prob", "perplexity"]
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, perplexity double")
+    return documents.select("doc_id", "text" if "text" in documents.columns else "ids").mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double, perplexity double")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -173,6 +174,49 @@ def test_rows_that_repeat_within_a_batch(kind):
     np.testing.assert_allclose(learner.table[:, n], total, rtol=1e-3)
 
 
+def test_last_places_of_rows():
+    """Against a dictionary, with rows met once and many times, most of which share few slots, and again after larger and smaller batches."""
+    r = np.random.default_rng(8)
+    learner = maxent.Learner(np.zeros((1 << 16, maxent.LANES), np.float32), 0.1)
+    learner.slots = np.empty(64, np.int32)
+    learner._hold(5000)
+    for n in (5000, 1, 0, 700):
+        rows = r.integers(0, 1 << 16, n)
+        rows[::3] = r.integers(0, 40, len(rows[::3]))
+        last = {row: i for i, row in enumerate(rows.tolist())}
+        assert learner.last(rows).tolist() == [last[row] for row in rows.tolist()]
+
+
+def test_rows_of_tables_lie_in_one_line_of_the_cache(model):
+    """Of the table that is trained and of the one that tasks unpickle to score; their content is the same."""
+    size = maxent.LANES * model.table.itemsize
+    there = pickle.loads(pickle.dumps(model))
+    np.testing.assert_array_equal(there.table, model.table)
+    assert there.parent.tolist() == model.parent.tolist()
+    odd = np.frombuffer(bytearray(64 * size + 4), np.float32, offset=4).reshape(-1, maxent.LANES)
+    for table in (there.table, maxent.aligned(odd), *(maxent.Learner(x, 0.1).table for x in (odd, there.table))):
+        assert table.ctypes.data % maxent.ALIGNED == 0 and maxent.ALIGNED % size == 0
+
+
+def test_words_are_looked_up_once(spark):
+    """Ids that are read again are those of the texts, and give the same scores; a column of the same name is not read."""
+    texts = [*sentences(6, 40), None, "", "w1", "w1 once é once", "x " * 200_000]
+    docs = spark.createDataFrame([(f"d{i // 2}", t, b"1234") for i, t in enumerate(texts)], "doc_id string, text string, ids binary")
+    model = maxent.trained(docs)
+    found = {}
+    known = maxent.coded(docs, model).toArrow()
+    at = 0
+    for b in known.to_batches():
+        for first, own, bounds in maxent.runs(b.select(["ids"]), model):
+            for i in range(len(bounds) - 1):
+                found[at + first + i] = own[bounds[i] : bounds[i + 1]].tolist()
+        at += len(b)
+    assert found == {i: maxent.word_ids(_text.word_hashes(t), model.words, model.ids).tolist() for i, t in enumerate(texts)}
+    one, two = (sorted((r.doc_id, r.n_words, r.log_prob) for r in x.collect()) for x in (maxent.scored(docs, model), maxent.scores(docs)))
+    assert [x[:2] for x in one] == [x[:2] for x in two] and len(one) == len(texts)
+    np.testing.assert_allclose([x[2] for x in one], [x[2] for x in two], rtol=1e-3, atol=1e-6)
+
+
 def test_ties_and_repeated_rows(spark):
     """Words of equal count get ids by hash, whatever the order of rows; repeated rows count as often as they occur."""
     texts = ["b a", "a b", "d c", "c d"] * 30
