@@ -148,7 +148,7 @@ each("s11_text_length", "documents", "doc_id", "n", lambda c: F.length(text.norm
 each("s20_slug", "pages", "page_id", "slug", text.slug, lambda x: f"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract({x}, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1'), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'book')", "url || '.book (2).epub'")
 each("r3_output_name", "pages", "page_id", "name", lambda c: routing.output_name(F.col("page_id").cast("int"), c), lambda x: f"'page_' || lpad(CAST(page_id + 1 AS VARCHAR), CAST(greatest(4, length(CAST(page_id + 1 AS VARCHAR))) AS INTEGER), '0') || '_' || regexp_extract({x}, '[^/]*$')", "url")
 each("c7_paragraphs_to_xhtml", "documents", "doc_id", "xhtml", structure.paragraphs_to_xhtml, lambda x: f"coalesce(nullif(array_to_string(list_transform(list_filter(list_transform(string_split({x}, chr(10) || chr(10)), lambda p: {TRIMMED('p')}), lambda p: p <> ''), lambda p: '<p>' || {sql_escape('p')} || '</p>'), chr(10)), ''), '<p></p>')", BROKEN)
-each("w5_edge_lines", "documents", "doc_id", "edges", lambda c: F.array_join(F.array(text.first_line(c), text.last_line(c)), "|"), lambda x: f"array_to_string([list_extract({sql_lines(x)}, 1), list_extract({sql_lines(x)}, -1)], '|')")
+each("w5_edge_lines", "documents", "doc_id", "edges", lambda c: F.concat(text.first_line(c), F.lit("|"), text.last_line(c)), lambda x: f"array_to_string([list_extract({sql_lines(x)}, 1), list_extract({sql_lines(x)}, -1)], '|')")
 each("t1_edge_candidates", "documents", "doc_id", "edges", lambda c: F.array_join(layout.edge_lines(c), "|"), lambda x: f"array_to_string(list_transform(CASE WHEN len({sql_lines(x)}) = 0 THEN [] WHEN list_extract({sql_lines(x)}, 1) = list_extract({sql_lines(x)}, -1) THEN [list_extract({sql_lines(x)}, 1)] ELSE [list_extract({sql_lines(x)}, 1), list_extract({sql_lines(x)}, -1)] END, lambda l: regexp_replace(l, '{DIGITS}', '#', 'g')), '|')")
 
 
