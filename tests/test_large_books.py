@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import tracemalloc
 
+import pyarrow as pa
+
+from quirelake.operators import markup
 from quirelake.sources import epub, sinks
 
 PAGES, SIZE = 300, 100_000
@@ -50,3 +53,16 @@ def test_archives_of_several_pieces_and_broken_ones(spark, monkeypatch):
     assert sorted((r.book, r.spine_pos, r.text_len) for r in found if r.error is None) == sorted((f"b{k % 2}", k // 2, 5 * (k + 1) - 1) for k in range(9))
     assert {r.book for r in found if r.error} == {"none", "empty", "no archive"}
     assert {(r.image, bytes(r.content)) for r in epub.images(books).collect()} == {("OEBPS/images/x.png", b"1"), ("OEBPS/images/y.png", bytes(range(200)))}
+
+
+def test_a_batch_of_markup_is_not_held_as_objects():
+    text = ["<p>" + random.Random(k).randbytes(5000).hex() + "</p>" if k % 7 else None for k in range(3000)] + ["", "<p>" + "é " * 600_000]
+    column = pa.array(text, pa.string())
+    want = [None if x is None else markup._squeezed(markup.read(x).texts) for x in text]
+    del text
+    tracemalloc.start()
+    found = markup.by_pieces(column.slice(2), pa.string(), lambda x: markup._squeezed(markup.read(x).texts))
+    assert tracemalloc.get_traced_memory()[1] < column.nbytes / 2
+    tracemalloc.stop()
+    assert found.to_pylist() == want[2:]
+    assert markup.by_pieces(column.slice(0, 0), pa.string(), len).to_pylist() == []
