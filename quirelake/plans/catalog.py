@@ -184,9 +184,9 @@ PAIRED_SQL = "paired AS (SELECT * FROM (SELECT doc_id, text AS a, lead(text) OVE
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the next one of their source."""
+    """Documents with the next one of their source, spread again after that, since a source may have a third of them."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text").over(order).alias("b")).where("b IS NOT NULL")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text").over(order).alias("b")).where("b IS NOT NULL").repartition("doc_id")
 
 
 INSERTION_SQL = f"""WITH {PAIRED_SQL}, have AS (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest({TOKENS('b')}) AS t FROM paired) GROUP BY doc_id, t),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quirelake.functions import metrics
 from quirelake.plans import catalog
 from tests import oracle
 
@@ -19,3 +20,21 @@ def test_blank_pages_have_no_edge_lines(spark, tmp_path):
     oracle.same(spark, catalog.QUERIES["w5_edge_lines"], catalog.ORACLES["w5_edge_lines"], sf_dir)
     found = catalog.QUERIES["w5_edge_lines"](spark, sf_dir).orderBy("doc_id").collect()
     assert [r.edges for r in found] == ["a|b", None, None, None, None, "one|one", "q|q"]
+
+
+def test_short_and_long_texts_count_alike(spark):
+    long = " ".join(f"w{k % 37} Ä{k % 11}" for k in range(900))
+    pairs = [("a b b", "b b b c"), ("", "x"), ("x", ""), (None, "x y"), ("x", None), ("--", "!!"), (long, long + " w1 new"), ("İi ß", "i̇I SS"), (long[:50], long)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    rates = [[r.insertion_rate for r in metrics.insertion_rates(df, "k", "a", "b", most).orderBy("k").collect()] for most in (-1, 20, 1000, 1 << 30)]
+    assert rates[0] == rates[1] == rates[2] == rates[3] and rates[0][:6] == [0.5, 1.0, 0.0, 1.0, 0.0, 0.0]
+    found = [[tuple(r) for r in metrics.repetition_ratios(df, "k", "b", most).orderBy("k").collect()] for most in (-1, 20, 1 << 30)]
+    assert found[0] == found[1] == found[2] and [r[1] for r in found[0]][:6] == [4, 1, 0, 2, 0, 0]
+    assert found[0][6][2] == 82 / 1802
+
+
+def test_pairs_of_one_source_are_spread(spark, tmp_path):
+    sf_dir = documents(spark, tmp_path, [f"a {k}" for k in range(400)])
+    own = catalog.paired(spark, sf_dir)
+    assert "RepartitionByExpression" in own._jdf.queryExecution().optimizedPlan().toString()
+    assert own.count() == 398
