@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,13 +36,22 @@ def box(polygon: Column) -> Column:
     return F.array(side(0, F.array_min), side(1, F.array_min), side(0, F.array_max), side(1, F.array_max)).cast("array<double>")
 
 
-def label_of(line_box: Column, regions: Column) -> Column:
-    """Label of the first region, in list order, that holds the centre of a line; edges count as inside."""
-    x, y = (line_box[0] + line_box[2]) / 2, (line_box[1] + line_box[3]) / 2
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
+def label_at(x: Column, y: Column, regions: Column) -> Column:
+    """Label of the first region, in list order, that holds a point; edges count as inside."""
     inside = lambda r: (r["box"][0] <= x) & (x <= r["box"][2]) & (r["box"][1] <= y) & (y <= r["box"][3])
     return F.coalesce(F.try_element_at(F.filter(regions, inside), F.lit(1))["label"], F.lit(DEFAULT))
 
 
+def label_of(line_box: Column, regions: Column) -> Column:
+    """Label of the first region, in list order, that holds the centre of a line; edges count as inside."""
+    return label_at((line_box[0] + line_box[2]) / 2, (line_box[1] + line_box[3]) / 2, regions)
+
+
 def labelled(lines: DataFrame, regions: DataFrame, page: list[str], line: str, region: str) -> DataFrame:
     """lines (page, line, box) with the label of the first region (page, region, box, label) that holds their centre.
 
@@ -101,25 +111,27 @@ def build_blocks(lines: DataFrame, page: list[str], line: str) -> DataFrame:
 def line_blocks(lines: Column, regions: Column) -> Column:
     """The blocks of one page within a row, from its lines (text, box) in reading order and its regions (box, label).
 
-    As :func:`islands` and :func:`build_blocks` make them of tables of lines.
+    As :func:`islands` and :func:`build_blocks` make them of tables of lines. A
+    line is labelled once, and the lines of a block are cut out between the
+    places where labels change, so the work grows with the lines.
     """
-    nothing = F.lit(None).cast("string")
-    empty = F.array().cast(BLOCK)
-    start = F.struct(empty.alias("made"), nothing.alias("label"), F.lit("").alias("run"))
+    every = F.coalesce(lines, F.array().cast("array<struct<text:string,box:array<double>>>"))
+    solid = F.filter(every, lambda x: text.strip(F.coalesce(x["text"], F.lit(""))) != "")
+    centred = F.transform(solid, lambda x: F.struct(x["text"].alias("text"), ((x["box"][0] + x["box"][2]) / 2).alias("x"), ((x["box"][1] + x["box"][3]) / 2).alias("y")))
+    found = F.transform(centred, lambda x: F.struct(x["text"].alias("text"), label_at(x["x"], x["y"], regions).alias("label")))
+    named = F.transform(found, lambda x: F.struct(x["text"].alias("text"), F.when(x["label"].isin(*FIGURES), F.lit(DEFAULT)).otherwise(x["label"]).alias("label")))
 
-    def ended(s: Column) -> Column:
-        own = text.without_inline_tags(s["run"])
-        return F.when(s["label"].isNull() | (own == ""), s["made"]).otherwise(F.concat(s["made"], F.array(block(s["label"], own)).cast(BLOCK)))
+    def cut(own: Column) -> Column:
+        first = lambda x, i: F.when((i == 0) | (F.get(own, i - 1)["label"] != x["label"]), i)
+        return bound(F.filter(F.transform(own, first), lambda i: i.isNotNull()), lambda starts: runs(own, starts))
 
-    def step(s: Column, x: Column) -> Column:
-        found = label_of(x["box"], regions)
-        label = F.when(found.isin(*FIGURES), F.lit(DEFAULT)).otherwise(found)
-        blank, same, dropped = text.strip(F.coalesce(x["text"], F.lit(""))) == "", s["label"].eqNullSafe(label), label.isin(*DROPPED)
-        made = F.when(blank | same, s["made"]).otherwise(ended(s))
-        run = F.when(blank, s["run"]).when(same, F.concat(s["run"], F.lit(" "), x["text"])).when(dropped, F.lit("")).otherwise(x["text"])
-        return F.struct(made.alias("made"), F.when(blank, s["label"]).when(dropped, nothing).otherwise(label).alias("label"), run.alias("run"))
+    def runs(own: Column, starts: Column) -> Column:
+        size = lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(own)) - i
+        joined = lambda i, k: F.array_join(F.transform(F.slice(own, i + 1, size(i, k)), lambda x: x["text"]), " ")
+        made = F.transform(starts, lambda i, k: F.struct(F.get(own, i)["label"].alias("label"), text.without_inline_tags(joined(i, k)).alias("text")))
+        return F.filter(made, lambda x: ~x["label"].isin(*DROPPED) & (x["text"] != ""))
 
-    return F.aggregate(F.coalesce(lines, F.array().cast("array<struct<text:string,box:array<double>>>")), start, step, ended)
+    return F.transform(bound(named, cut), lambda x: block(x["label"], x["text"])).cast(BLOCK)
 
 
 def served_blocks(items: Column) -> Column:
@@ -147,7 +159,6 @@ def paragraphs_to_xhtml(c: Column) -> Column:
 def blocks_to_xhtml(blocks: Column) -> Column:
     """Markup of a page's blocks, an element a line; consecutive list items share a list, figures are left out."""
     nothing = F.lit("")
-    start = F.struct(nothing.alias("out"), F.lit(False).alias("open"))
 
     def tagged(x: Column) -> Column:
         own, wrap = text.escape(x["text"]), lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
@@ -162,16 +173,20 @@ def blocks_to_xhtml(blocks: Column) -> Column:
             .otherwise(wrap("<p>", own, "</p>"))
         )
 
-    def step(s: Column, x: Column) -> Column:
+    def piece(x: Column, opened: Column) -> Column:
         item, figure = x["type"] == "list", x["type"] == "figure"
-        close = F.when(~item & s["open"], F.lit("</ul>")).otherwise(nothing)
-        line = F.when((s["out"] == "") | (item & s["open"]), nothing).otherwise(F.lit("\n"))
-        begin = F.when(item & ~s["open"], F.lit("<ul>")).otherwise(nothing)
-        added = F.when(figure, nothing).otherwise(F.concat(line, begin, tagged(x)))
-        return F.struct(F.concat(s["out"], close, added).alias("out"), item.alias("open"))
-
-    out = F.aggregate(blocks, start, step, lambda s: F.concat(s["out"], F.when(s["open"], F.lit("</ul>")).otherwise(nothing)))
-    return F.when(F.coalesce(out, nothing) == "", F.lit("<p></p>")).otherwise(out)
+        close = F.when(~item & opened, F.lit("</ul>")).otherwise(nothing)
+        line = F.when(item & opened, nothing).otherwise(F.lit("\n"))
+        begin = F.when(item & ~opened, F.lit("<ul>")).otherwise(nothing)
+        return F.concat(close, F.when(figure, nothing).otherwise(F.concat(line, begin, tagged(x))))
+
+    def joined(own: Column) -> Column:
+        opened = lambda i: F.when(i == 0, F.lit(False)).otherwise(F.get(own, i - 1)["type"] == "list")
+        last = F.when(F.get(own, F.size(own) - 1)["type"] == "list", F.lit("</ul>")).otherwise(nothing)
+        return bound(F.transform(own, lambda x, i: piece(x, opened(i))), lambda pieces: F.when(~F.exists(pieces, lambda p: p.isNull()), F.concat(F.array_join(pieces, ""), last)))
+
+    out = F.regexp_replace(bound(blocks, joined), "\\A\\n", "")
+    return bound(out, lambda x: F.when(F.coalesce(x, nothing) == "", F.lit("<p></p>")).otherwise(x))
 
 
 def cleaned_body(blocks: Column, page_text: Column) -> Column:

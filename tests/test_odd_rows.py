@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quirelake.functions import metrics
+from quirelake.operators import structure
 from quirelake.plans import catalog
 from tests import oracle
 
@@ -38,3 +41,21 @@ def test_pairs_of_one_source_are_spread(spark, tmp_path):
     own = catalog.paired(spark, sf_dir)
     assert "RepartitionByExpression" in own._jdf.queryExecution().optimizedPlan().toString()
     assert own.count() == 398
+
+
+def test_blocks_of_a_page_take_one_pass(spark):
+    box = lambda y: [0.0, float(y), 1.0, float(y)]
+    labels = ["Title", "PageHeader", "ListItem", "Figure", None]
+    regions = [(box(k), x) for k, x in enumerate(labels)]
+    page = [("a", 0), ("b", 0), (" ", 1), (None, 1), ("c<i>", 0), ("h", 1), ("d", 0), ("l", 2), ("m", 2), ("f", 3), ("g", 4), ("p", 9), ("<b></b>", 1), ("<b></b>", 2), ("n", 2)]
+    many = [(f"w{k}", 2 * (k % 2)) for k in range(3000)]
+    rows = [(k, [(t, box(y)) for t, y in x], regions) for k, x in enumerate((page, [], [(" ", 0)], many))] + [(4, None, None), (5, [("x", None), ("y", box(0))], None)]
+    df = spark.createDataFrame(rows, "k int, lines array<struct<text:string,box:array<double>>>, regions array<struct<box:array<double>,label:string>>")
+    made = df.select("k", structure.line_blocks(F.col("lines"), F.col("regions")).alias("blocks")).select("k", "blocks", structure.blocks_to_xhtml(F.col("blocks")).alias("xhtml")).orderBy("k")
+    found = made.collect()
+    assert [(b.type, b.text) for b in found[0].blocks] == [("heading", "a b c"), ("heading", "d"), ("list", "l m"), ("paragraph", "f g p"), ("list", "n")]
+    assert found[0].xhtml == "<h2>a b c</h2>\n<h2>d</h2>\n<ul><li>l m</li></ul>\n<p>f g p</p>\n<ul><li>n</li></ul>"
+    assert [r.xhtml for r in found[1:3]] + [found[4].xhtml] == ["<p></p>"] * 3 and found[4].blocks == []
+    assert found[3].xhtml == "\n".join(f"<h2>w{k}</h2>" if k % 2 == 0 else f"<ul><li>w{k}</li></ul>" for k in range(3000))
+    assert found[5].xhtml == "<p>x y</p>"
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()  # a fold copies what it has made for every block
