@@ -59,3 +59,8 @@ def test_blocks_of_a_page_take_one_pass(spark):
     assert found[3].xhtml == "\n".join(f"<h2>w{k}</h2>" if k % 2 == 0 else f"<ul><li>w{k}</li></ul>" for k in range(3000))
     assert found[5].xhtml == "<p>x y</p>"
     assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()  # a fold copies what it has made for every block
+
+
+def test_a_text_page_of_twelve_characters_stays_in_its_book(spark, tmp_path):
+    sf_dir = documents(spark, tmp_path, ["a longer page here", "The shor.", "The sho.", "scanned here", "The shor."])
+    oracle.same(spark, catalog.QUERIES["k7_book_to_book"], catalog.ORACLES["k7_book_to_book"], sf_dir)
